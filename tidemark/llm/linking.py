@@ -1,0 +1,60 @@
+"""Components of the true links inside candidate buckets, without all pairs of a bucket.
+
+Only connectivity is asked for, so two members that are known to be connected need no test. Each round takes one hub a
+bucket and tests its members against it; the members that this connects leave the work. What stays in buckets of several
+components after some rounds is tested in full across components, so that no link of a bucket is lost.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import Workspace, components
+
+#: Rounds with one hub a bucket before the pairs that are left are tested in full.
+STAR_ROUNDS = 4
+
+
+def link_buckets(ws: Workspace, members: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int, label: str = "link") -> DataFrame | None:
+    """Rows (node, component) for the members of components of two or more, or None if nothing links.
+
+    members: (bucket, id, size), read from a table. verify: takes pairs (a, b), a > b, and returns those that are links.
+    percent: a link needs sizes that differ by no more than this allows.
+    """
+    edges, known, rounds = None, None, 0
+    live = members.select("bucket", "id", "size", F.col("id").alias("comp"))
+    while True:
+        rank = F.xxhash64("id", F.lit(rounds)) if rounds else F.col("id")
+        hubs = ws.save(
+            live.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by("id", rank).alias("hub"), F.min_by("comp", rank).alias("hub_comp"), F.min_by("size", rank).alias("hub_size"), F.count("*").alias("n")).where("low <> high").drop("low", "high"),
+            f"{label}-hubs-{rounds}",
+        )
+        left, squares = hubs.agg(F.count("*"), F.sum(F.col("n") * F.col("n").cast("double"))).first()
+        if not left:
+            break
+        total = hubs.agg(F.sum("n")).first()[0]
+        last = rounds >= STAR_ROUNDS or squares <= 3 * total
+        joined = live.join(hubs, "bucket")
+        if last:
+            x = joined.select("bucket", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("size").alias("sx"))
+            y = joined.select("bucket", F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("size").alias("sy"))
+            pairs = x.join(y, "bucket").where("cx < cy").where(_sizes("sx", "sy", percent)).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+        else:
+            pairs = joined.where("comp <> hub_comp").where(_sizes("size", "hub_size", percent)).select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b"))
+        pairs = ws.save(pairs.distinct(), f"{label}-pairs-{rounds}")
+        found = ws.save(verify(pairs), f"{label}-edges-{rounds}")
+        edges = found if edges is None else edges.union(found)
+        known = components(ws, edges, f"{label}-comp-{rounds}")
+        if last:
+            break
+        rounds += 1
+        again = joined.select("bucket", "id", "size").join(known, F.col("id") == F.col("node"), "left")
+        live = ws.save(again.select("bucket", "id", "size", F.coalesce("component", "id").alias("comp")), f"{label}-live-{rounds}")
+    return known
+
+
+def _sizes(x: str, y: str, percent: int):
+    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
