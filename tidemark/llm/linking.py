@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, components
@@ -18,13 +18,14 @@ from .common import Workspace, components
 STAR_ROUNDS = 4
 
 
-def link_buckets(ws: Workspace, members: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int, label: str = "link") -> DataFrame | None:
+def link_buckets(ws: Workspace, members: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int, label: str = "link", traits: DataFrame | None = None, near: Callable[[str, str], Column] | None = None) -> DataFrame | None:
     """Rows (node, component) for the members of components of two or more, or None if nothing links.
 
     members: (bucket, id, size), read from a table. verify: takes pairs (a, b), a > b, and returns those that are links.
-    percent: a link needs sizes that differ by no more than this allows.
+    percent: a link needs sizes that differ by no more than this allows. traits: (id, trait); near(x, y) says of two traits
+    whether a link is likely enough to be tested where whole buckets are left.
     """
-    edges, known, rounds = None, None, 0
+    edges, known, rounds, few = None, None, 0, False
     live = members.select("bucket", "id", "size", F.col("id").alias("comp"))
     while True:
         rank = F.xxhash64("id", F.lit(rounds)) if rounds else F.col("id")
@@ -36,12 +37,14 @@ def link_buckets(ws: Workspace, members: DataFrame, verify: Callable[[DataFrame]
         if not left:
             break
         total = hubs.agg(F.sum("n")).first()[0]
-        last = rounds >= STAR_ROUNDS or squares <= 3 * total
+        last = rounds >= STAR_ROUNDS or squares <= 3 * total or few
         joined = live.join(hubs, "bucket")
         if last:
-            x = joined.select("bucket", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("size").alias("sx"))
-            y = joined.select("bucket", F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("size").alias("sy"))
-            pairs = x.join(y, "bucket").where("cx < cy").where(_sizes("sx", "sy", percent)).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+            mixed = joined.join(traits, "id") if traits is not None else joined.withColumn("trait", F.lit(0))
+            x = mixed.select("bucket", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("size").alias("sx"), F.col("trait").alias("tx"))
+            y = mixed.select("bucket", F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("size").alias("sy"), F.col("trait").alias("ty"))
+            likely = near("tx", "ty") if near else F.lit(True)
+            pairs = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("cx") < F.col("cy")) & _sizes("sx", "sy", percent) & likely).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
         else:
             pairs = joined.where("comp <> hub_comp").where(_sizes("size", "hub_size", percent)).select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b"))
         pairs = ws.save(pairs.distinct(), f"{label}-pairs-{rounds}")
@@ -50,6 +53,7 @@ def link_buckets(ws: Workspace, members: DataFrame, verify: Callable[[DataFrame]
         known = components(ws, edges, f"{label}-comp-{rounds}")
         if last:
             break
+        few = found.count() * 20 < pairs.count()  # hubs connect little more
         rounds += 1
         again = joined.select("bucket", "id", "size").join(known, F.col("id") == F.col("node"), "left")
         live = ws.save(again.select("bucket", "id", "size", F.coalesce("component", "id").alias("comp")), f"{label}-live-{rounds}")

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, map_steps
@@ -21,6 +21,10 @@ from .words import U, Texts, distinct, mix
 
 #: A pair at similarity 0.8 shares none of 24 bands of 5 with probability (1 - 0.8 ** 5) ** 24 = 0.00007.
 BANDS, BAND_ROWS = 24, 5
+#: Coordinates of a sketch: the bands take the first ones, the estimate that spares hopeless tests takes all.
+COORDINATES = 384
+#: Standard deviations by which the coordinates that differ may exceed those of a pair at the threshold before it counts as no candidate.
+SLACK = 4
 _VALUE_BITS = 44
 
 
@@ -62,8 +66,34 @@ def bands(sketches: np.ndarray, n_bands: int, rows: int) -> np.ndarray:
     return out
 
 
-def describe(df: DataFrame, k: int, n_bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
-    """(id, text) -> (id, size, key1, key2, bands): the size of the shingle set, a 128-bit key of the set, and its band keys."""
+def nibbles(sketches: np.ndarray) -> np.ndarray:
+    """Four bits of each coordinate, 16 coordinates an integer."""
+    n, t = sketches.shape
+    out = np.zeros((n, -(-t // 16)), U)
+    for i in range(t):
+        out[:, i // 16] |= (sketches[:, i] & U(15)) << U(4 * (i % 16))
+    return out
+
+
+def _near(t: int, percent: int):
+    """Whether two sketches differ in no more coordinates than a link's would, SLACK deviations included."""
+    odds = (1 - percent / 100) * 15 / 16
+    most = t * odds + SLACK * (t * odds * (1 - odds)) ** 0.5
+
+    def near(x: str, y: str) -> Column:
+        differ = F.lit(0)
+        for i in range(-(-t // 16)):
+            z = F.col(x)[i].bitwiseXOR(F.col(y)[i])
+            z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
+            z = z.bitwiseOR(F.shiftrightunsigned(z, 2))
+            differ += F.bit_count(z.bitwiseAND(F.lit(0x1111111111111111)))
+        return differ <= most
+
+    return near
+
+
+def describe(df: DataFrame, k: int, n_bands: int = BANDS, rows: int = BAND_ROWS, t: int = COORDINATES) -> DataFrame:
+    """(id, text) -> (id, size, key1, key2, bands, trait): the size of the shingle set, a 128-bit key of it, its band keys and its sketch in short."""
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = Texts(batch.column("text"))
@@ -75,12 +105,11 @@ def describe(df: DataFrame, k: int, n_bands: int = BANDS, rows: int = BAND_ROWS)
             sums = np.zeros(len(values) + 1, U)
             np.cumsum(mix(values + U(salt)), out=sums[1:])
             keys.append((sums[ends[1:]] - sums[ends[:-1]]).view(np.int64))
-        found = bands(sketch(group, values, texts.n, n_bands * rows), n_bands, rows).view(np.int64)
-        offsets = np.arange(0, texts.n * n_bands + 1, n_bands, dtype=np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.ravel()))
-        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes.astype(np.int64)), pa.array(keys[0]), pa.array(keys[1]), lists], ["id", "size", "key1", "key2", "bands"])
+        sketches = sketch(group, values, texts.n, t)
+        lists = [pa.ListArray.from_arrays(pa.array(np.arange(texts.n + 1, dtype=np.int32) * x.shape[1]), pa.array(x.view(np.int64).ravel())) for x in (bands(sketches, n_bands, rows), nibbles(sketches))]
+        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes.astype(np.int64)), pa.array(keys[0]), pa.array(keys[1]), *lists], ["id", "size", "key1", "key2", "bands", "trait"])
 
-    return map_steps(df, "text", make, "id long, size long, key1 long, key2 long, bands array<long>")
+    return map_steps(df, "text", make, "id long, size long, key1 long, key2 long, bands array<long>, trait array<long>")
 
 
 def similar(pairs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -123,7 +152,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k:
         both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         return similar(both.select("a", "b", "text_a", "text_b"), k, percent)
 
-    linked = link_buckets(ws, live, verify, percent)
+    linked = link_buckets(ws, live, verify, percent, traits=first.select("id", "trait").dropDuplicates(["id"]), near=_near(COORDINATES, percent))
     out = signed.join(classes, key, "left").withColumn("rep", F.expr("case when size > 0 then coalesce(first, id) else id end"))
     if linked is not None:
         out = out.join(linked, out["rep"] == linked["node"], "left")
