@@ -59,6 +59,7 @@ class Workspace:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(self.path(name))
+        self.spark._jvm.System.gc()  # lets Spark remove the shuffle files of what is now written
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
