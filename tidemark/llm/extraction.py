@@ -169,7 +169,8 @@ def main_text(pages: DataFrame, id: str = "page_id", url: str = "url", page: str
     pages the weights are those of ``Weights``. Other columns aren't read.
     """
     source = pages.select(F.col(id).cast("long").alias("id"), F.col(url).cast("string").alias("url"), F.col(page).alias("page"))
-    some = source.where("page is not null").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("page").collect()
+    ids = source.where("page is not null and id is not null").select("id").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).distinct()
+    some = source.join(F.broadcast(ids), "id").select("page").limit(SAMPLE).collect()  # ids first: few bytes a task reach the driver
     weights = learn([x[0] for x in some])
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
