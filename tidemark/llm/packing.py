@@ -112,9 +112,7 @@ def solve(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]
                 plan.append((pattern, times))
                 for k, n in pattern.items():
                     left[k] -= times * n
-    packed = best_fit(left, capacity)
-    whole = best_fit(counts, capacity)  # never more than plain best fit uses
-    return plan + packed if sum(t for _, t in plan + packed) <= sum(t for _, t in whole) else whole
+    return plan + best_fit(left, capacity)
 
 
 class Slots:
