@@ -59,7 +59,7 @@ def duplicate_lines(docs: DataFrame, ws: Workspace, id: str = "doc_id", text: st
     def near(x: str, y: str) -> Column:
         return sum(F.when(F.col(x)[i].eqNullSafe(F.col(y)[i]), 1).otherwise(0) for i in range(BINS)) >= AGREE
 
-    linked = link_buckets(ws, live, verify, percent, traits=signed.select("id", F.array(*bins).alias("trait")), near=near)
+    linked = link_buckets(ws, live, verify, percent, traits=signed.select("id", F.array(*bins).alias("trait"), F.array(*band).alias("bands")), near=near, n_bands=len(band))
     places = every.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select("doc", "at", key.alias("key"))
     if linked is None:
         placed = places.withColumn("component", F.col("key"))

@@ -18,12 +18,13 @@ from .common import Workspace, components
 STAR_ROUNDS = 4
 
 
-def link_buckets(ws: Workspace, members: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int, label: str = "link", traits: DataFrame | None = None, near: Callable[[str, str], Column] | None = None) -> DataFrame | None:
+def link_buckets(ws: Workspace, members: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int, label: str = "link", traits: DataFrame | None = None, near: Callable[[str, str], Column] | None = None, n_bands: int = 0) -> DataFrame | None:
     """Rows (node, component) for the members of components of two or more, or None if nothing links.
 
     members: (bucket, id, size), read from a table. verify: takes pairs (a, b), a > b, and returns those that are links.
-    percent: a link needs sizes that differ by no more than this allows. traits: (id, trait); near(x, y) says of two traits
-    whether a link is likely enough to be tested where whole buckets are left.
+    percent: a link needs sizes that differ by no more than this allows. traits: (id, trait, bands); near(x, y) says of two
+    traits whether a link is likely enough to be tested where whole buckets are left, and bands holds the n_bands buckets
+    of an id in a fixed order (null: none), so that a pair comes from the first bucket that it shares only.
     """
     edges, known, rounds, few = None, None, 0, False
     live = members.select("bucket", "id", "size", F.col("id").alias("comp"))
@@ -40,11 +41,12 @@ def link_buckets(ws: Workspace, members: DataFrame, verify: Callable[[DataFrame]
         last = rounds >= STAR_ROUNDS or squares <= 3 * total or few
         joined = live.join(hubs, "bucket")
         if last:
-            mixed = joined.join(traits, "id") if traits is not None else joined.withColumn("trait", F.lit(0))
-            x = mixed.select("bucket", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("size").alias("sx"), F.col("trait").alias("tx"))
-            y = mixed.select("bucket", F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("size").alias("sy"), F.col("trait").alias("ty"))
+            mixed = joined.join(traits, "id") if traits is not None else joined.withColumn("trait", F.lit(0)).withColumn("bands", F.lit(None).cast("array<long>"))
+            x = mixed.select("bucket", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("size").alias("sx"), F.col("trait").alias("tx"), F.col("bands").alias("bx"))
+            y = mixed.select("bucket", F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("size").alias("sy"), F.col("trait").alias("ty"), F.col("bands").alias("by"))
             likely = near("tx", "ty") if near else F.lit(True)
-            pairs = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("cx") < F.col("cy")) & _sizes("sx", "sy", percent) & likely).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+            once = F.coalesce(*[F.when(F.col("bx")[i] == F.col("by")[i], F.col("bx")[i]) for i in range(n_bands)]) == x["bucket"] if n_bands else F.lit(True)
+            pairs = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("cx") < F.col("cy")) & _sizes("sx", "sy", percent) & likely & once).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
         else:
             pairs = joined.where("comp <> hub_comp").where(_sizes("size", "hub_size", percent)).select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b"))
         pairs = ws.save(pairs.distinct(), f"{label}-pairs-{rounds}")

@@ -152,7 +152,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k:
         both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         return similar(both.select("a", "b", "text_a", "text_b"), k, percent)
 
-    linked = link_buckets(ws, live, verify, percent, traits=first.select("id", "trait").dropDuplicates(["id"]), near=_near(COORDINATES, percent))
+    linked = link_buckets(ws, live, verify, percent, traits=first.select("id", "trait", "bands").dropDuplicates(["id"]), near=_near(COORDINATES, percent), n_bands=n_bands)
     out = signed.join(classes, key, "left").withColumn("rep", F.expr("case when size > 0 then coalesce(first, id) else id end"))
     if linked is not None:
         out = out.join(linked, out["rep"] == linked["node"], "left")
