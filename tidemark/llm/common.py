@@ -12,6 +12,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch where each holds one or two whole texts.
+TEXT_ROWS = 1000
 #: Bytes of text that one step of vectorised work takes at most (a longer text is one step of its own).
 STEP_BYTES = 2 << 20
 
@@ -46,7 +48,7 @@ def _own_dir() -> str:
 class Workspace:
     """Tables written to the shared folder: they cut the lineage and outlive a lost executor.
 
-    ``save`` writes and rereads; ``drop`` removes a table that no later step reads. What the result itself reads stays
+    ``save`` writes and rereads, with Arrow batches of at most ``rows`` rows if that is given; ``drop`` removes a table that no later step reads. What the result itself reads stays
     until the folder is emptied, as files of ``checkpoint()`` do.
     """
 
@@ -57,8 +59,14 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+    def save(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(key)
+        try:
+            self.spark.conf.set(key, str(rows or before))
+            df.write.mode("overwrite").parquet(self.path(name))
+        finally:
+            self.spark.conf.set(key, before)
         self.spark._jvm.System.gc()  # lets Spark remove the shuffle files of what is now written
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, map_steps
+from .common import TEXT_ROWS, Workspace, map_steps
 from .words import U, Texts, mix, roll
 
 #: Words of a passage that counts, neighbouring positions of which one is retained, and words that its hash covers.
@@ -164,7 +164,7 @@ def repeated_passages(docs: DataFrame, ws: Workspace, id: str = "doc_id", text:
     keyed = ws.save(named.select("doc", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"), F.length("text").alias("k3")).distinct(), "keys")
     classes = ws.save(keyed.groupBy("k1", "k2", "k3").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "classes")
     copies = ws.save(keyed.join(classes, ["k1", "k2", "k3"]).where("doc <> first").select("doc", "first").distinct(), "copies")
-    table = ws.save(suffixes(named.join(copies, "doc", "left_anti")), "suffixes")
+    table = ws.save(suffixes(named.join(copies, "doc", "left_anti")), "suffixes", TEXT_ROWS)
     found, texts = [], None
     for k in range(2):
         near = ws.save(neighbours(ws, table, f"sorted-{k}").where("doc <> to_doc or at <> to_at").distinct(), f"near-{k}")
@@ -175,12 +175,12 @@ def repeated_passages(docs: DataFrame, ws: Workspace, id: str = "doc_id", text:
             wanted = pairs.select("doc").union(pairs.select("to_doc")).distinct()
             texts = ws.save(named.join(wanted, "doc", "left_semi").dropDuplicates(["doc"]), "texts")
         both = pairs.join(texts, "doc").join(texts.select(F.col("doc").alias("to_doc"), F.col("text").alias("to_text")), "to_doc")
-        matched = ws.save(extend(both.select("doc", "to_doc", "anchors", "text", "to_text")), f"matched-{k}")
+        matched = ws.save(extend(both.select("doc", "to_doc", "anchors", "text", "to_text")), f"matched-{k}", TEXT_ROWS)
         found.append(matched.where("n > 0"))
         if not k:  # those that fall short, and the heads that they fell short of, may match others
             short = matched.where("n = 0").select("head").distinct()
             again = table.join(short, "head", "left_semi").groupBy("doc").agg(F.collect_set("at").alias("ats"))
-            table = ws.save(whole_windows(again.join(texts, "doc").select("doc", "ats", "text")), "windows")
+            table = ws.save(whole_windows(again.join(texts, "doc").select("doc", "ats", "text")), "windows", TEXT_ROWS)
     found = found[0].union(found[1])
     spans = found.select("doc", "start", "n", "to_doc", "to_start")
     if copies.limit(1).count():
