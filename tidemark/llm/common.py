@@ -48,8 +48,9 @@ def _own_dir() -> str:
 class Workspace:
     """Tables written to the shared folder: they cut the lineage and outlive a lost executor.
 
-    ``save`` writes and rereads, with Arrow batches of at most ``rows`` rows if that is given; ``drop`` removes a table that no later step reads. What the result itself reads stays
-    until the folder is emptied, as files of ``checkpoint()`` do.
+    ``save`` writes and rereads, with Arrow batches of at most ``rows`` rows if that is given; ``drop`` removes
+    a table that no later step reads. What the result itself reads stays until the folder is emptied, as files of
+    ``checkpoint()`` do.
     """
 
     def __init__(self, spark: SparkSession, label: str):
