@@ -285,6 +285,28 @@ def test_caps_are_brute_force(spark):
     assert sum(got[i][1] == want[i] for i in want) >= 0.99 * len(want) and all(got[i] == (0, i, True) for i in range(601, 607))
 
 
+def test_caps_keep_recall_at_the_largest_code(spark, monkeypatch):
+    monkeypatch.setattr(caps, "BUCKET", 1e-6)  # 2048 codewords for a small table
+    rng = np.random.default_rng(6)
+    x, y = rng.standard_normal((2, 1000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = 0.9301 * x + np.sqrt(1 - 0.9301**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([x, y]))]
+    out = caps.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert sum(r.n_links for r in out) >= 2 * 1000 * 0.995
+
+
+def test_caps_in_few_dimensions_are_exact(spark):
+    rng = np.random.default_rng(8)
+    rows = [(d * 1000 + i, rng.standard_normal(d).tolist(), 0) for d in (1, 2, 3) for i in range(150)]
+    out = {r.vec_id: r.n_links for r in caps.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    for d in (1, 2, 3):
+        x = np.array([v for i, v, _ in rows if i // 1000 == d], np.float32).astype(float)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        assert [out[d * 1000 + i] for i in range(150)] == ((x @ x.T >= 0.93).sum(axis=1) - 1).tolist()
+
+
 def test_pipeline(spark):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["quality rules", "line dedup", "near dedup", "suffix dedup", "best-fit packing"]

@@ -1,9 +1,9 @@
 """Operator 7: near-duplicate embeddings by spherical-cap filters.
 
 Filters are directions from a random product code: after a fixed random rotation a vector is cut into two blocks, each
-block has a codebook of random unit vectors, and every pair of codewords is a direction. A vector is list-decoded to all
-directions whose inner product with it exceeds a threshold; of the first codebook only words that the best of the second
-could lift over it are expanded. Vectors of one label that share a direction are compared in double precision.
+block has a codebook of random unit vectors, and every pair of codewords is a direction. A vector is list-decoded to the
+directions nearest to it, as many as random pairs at the least cosine need in this very code to share one. Vectors of one
+label that share a direction are compared in double precision.
 
 A bucket is compared block against block by matrix products. What leaves a comparison is a sum of links and a local
 component for each vector, never its pairs. A pair that meets in several buckets counts in the first they share.
@@ -12,7 +12,6 @@ component for each vector, never its pairs. A pair that meets in several buckets
 from __future__ import annotations
 
 from collections.abc import Iterator
-from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -22,35 +21,73 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, components
 
-#: Directions that a vector exceeds on average, directions that it gets at least, mean rows of a bucket, rows of a block.
-LIST, NEAREST, BUCKET, BLOCK = 32, 3, 24, 1024
+#: Directions of a vector and rows of a bucket that the number of codewords is set for, rows of a block.
+LIST, BUCKET, BLOCK = 32, 24, 1024
+#: Random pairs at the least cosine of which none may miss (a pair misses with a chance of 1 in TRIALS + 1, below 0.0008
+#: with 95 % confidence), and directions of a vector at most: a code that needs more is replaced by one of fewer words.
+TRIALS, MOST = 4096, 256
 
 
 class Code:
-    def __init__(self, dim: int, words: int, share: float, seed: int = 7):
+    def __init__(self, dim: int, words: int, seed: int = 7):
         rng = np.random.Generator(np.random.PCG64([seed, dim, words]))
         self.rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
-        self.half = max(1, dim // 2)
+        self.dim, self.half, self.words = dim, max(1, dim // 2), words
         books = [rng.standard_normal((words, n)) for n in (self.half, max(1, dim - self.half))]
-        self.books = [b / np.linalg.norm(b, axis=1, keepdims=True) / np.sqrt(2) for b in books]
-        self.words, self.bar = words, NormalDist().inv_cdf(1 - min(share, 0.5)) / np.sqrt(dim)
+        self.books = [b / np.linalg.norm(b, axis=1, keepdims=True) for b in books]
 
-    def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(vector, direction) rows, sorted, for unit vectors."""
+    def decode(self, unit: np.ndarray, n: int) -> np.ndarray:
+        """The n nearest directions of each unit vector (all of them, if there are fewer), nearest first."""
         x = unit @ self.rotation
         first = x[:, : self.half] @ self.books[0].T
         second = (x[:, self.half :] if x.shape[1] > self.half else np.zeros((len(x), 1))) @ self.books[1].T
-        v, i = np.nonzero(first + second.max(axis=1, keepdims=True) >= self.bar)
-        found = []
-        for at in range(0, len(v), 4096):
-            r, j = np.nonzero(first[v[at : at + 4096], i[at : at + 4096], None] + second[v[at : at + 4096]] >= self.bar)
-            found.append((v[at + r], i[at + r] * self.words + j))
-        top = [np.argsort(-s, axis=1)[:, :NEAREST] for s in (first, second)]  # the nearest directions, also below the bar
-        rows = np.arange(len(x))
-        for k in range(NEAREST):
-            found.append((rows, top[0][:, min(k, top[0].shape[1] - 1)] * self.words + top[1][:, 0]))
-        pairs = np.unique(np.concatenate([np.stack(f, 1) for f in found]).astype(np.int64), axis=0)
-        return pairs[:, 0], pairs[:, 1]
+        (i, a), (j, b) = (_best(s, n) for s in (first, second))
+        # the p-th and the q-th word make one of the n nearest only if p * q <= n
+        rank = np.arange(1, a.shape[1] + 1)
+        p, q = np.nonzero(np.outer(rank, rank) <= n)
+        top = _best(a[:, p] + b[:, q], n)[0]
+        return np.take_along_axis(i[:, p] * self.words + j[:, q], top, 1)
+
+    def enough(self, least: float) -> int | None:
+        """The list length with which none of TRIALS random pairs at cosine ``least`` misses, or None above MOST.
+
+        The code is rotated at random, so the chance is the same for every pair of vectors at that cosine.
+        """
+        rng = np.random.Generator(np.random.PCG64([self.dim, self.words]))
+        cosine, need = min(least, 0.999), 1
+        for _ in range(0, TRIALS, 256):
+            x, y = rng.standard_normal((2, 256, self.dim))
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            y -= (x * y).sum(axis=1, keepdims=True) * x
+            y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
+            y = cosine * x + np.sqrt(1 - cosine**2) * y
+            for f, g in zip(self.decode(x, MOST), self.decode(y, MOST), strict=True):
+                _, at, to = np.intersect1d(f, g, assume_unique=True, return_indices=True)
+                if not len(at):
+                    return None
+                need = max(need, int(np.maximum(at, to).min()) + 1)
+        return need
+
+
+def _best(s: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Columns of the n largest values of each row, largest first, and the values."""
+    n = min(n, s.shape[1])
+    at = np.argpartition(-s, n - 1, axis=1)[:, :n]
+    at = np.take_along_axis(at, np.argsort(-np.take_along_axis(s, at, 1), axis=1, kind="stable"), 1)
+    return at, np.take_along_axis(s, at, 1)
+
+
+def lists(dim: int, words: int, least: float) -> tuple[int, int]:
+    """Codewords, ``words`` or fewer, and the list length for them.
+
+    A vector meets n * n / words**2 of the others. Where no code makes that less than all, one direction holds all vectors.
+    """
+    while words > 1:
+        n = Code(dim, words).enough(least)
+        if n and n < words:
+            return words, n
+        words //= 2
+    return 1, 1
 
 
 def _vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -61,8 +98,11 @@ def _vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.array(good, np.int64), [lists[i] for i in good]
 
 
-def coded(source: DataFrame, words: int, share: float) -> DataFrame:
-    """(id, label, embedding) -> the vectors that can link: id, label, dim, vector (binary doubles), directions."""
+def coded(source: DataFrame, plan: dict[int, tuple[int, int]]) -> DataFrame:
+    """(id, label, embedding) -> the vectors that can link: id, label, dim, vector (binary doubles), directions.
+
+    plan: codewords and list length by dimension, see ``lists``.
+    """
     codes: dict[int, Code] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,18 +110,21 @@ def coded(source: DataFrame, words: int, share: float) -> DataFrame:
             at, vectors = _vectors(batch.column("embedding"))
             sizes = np.array([len(v) for v in vectors], np.int64)
             for dim in np.unique(sizes).tolist():
-                code = codes.setdefault(dim, Code(dim, words, share))
+                words, n = plan[dim]
+                if dim not in codes:
+                    codes[dim] = Code(dim, words)
                 some = np.flatnonzero(sizes == dim)
                 for k in range(0, len(some), 2048):
                     part = some[k : k + 2048]
                     x = np.stack([vectors[i] for i in part])
                     scaled = x / np.abs(x).max(axis=1, keepdims=True)
-                    v, f = code.decode(scaled / np.linalg.norm(scaled, axis=1, keepdims=True))
-                    lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(v, np.arange(len(part) + 1)).astype(np.int32)), pa.array(f))
+                    unit = scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+                    found = np.concatenate([codes[dim].decode(unit[i : i + 256], n) for i in range(0, len(unit), 256)]).astype(np.int32)
+                    directions = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * found.shape[1]), pa.array(found.ravel()))
                     rows = batch.select(["id", "label"]).take(pa.array(at[part]))
-                    yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.full(len(part), dim, np.int32)), pa.array([r.tobytes() for r in scaled], pa.binary()), lists], ["id", "label", "dim", "vector", "directions"])
+                    yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.full(len(part), dim, np.int32)), pa.array([r.tobytes() for r in scaled], pa.binary()), directions], ["id", "label", "dim", "vector", "directions"])
 
-    return source.mapInArrow(run, "id long, label string, dim int, vector binary, directions array<long>")
+    return source.mapInArrow(run, "id long, label string, dim int, vector binary, directions array<int>")
 
 
 def _compare(group: pd.DataFrame, direction: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
@@ -140,7 +183,8 @@ def near_duplicates(table: DataFrame, id: str = "vec_id", label: str = "label",
     able = source.where("id is not null and label is not null and embedding is not null")
     most = able.groupBy("label").count().agg(F.max("count")).first()[0] or 1
     words = int(np.clip(np.sqrt(most * LIST / BUCKET), 16, 2048))
-    vectors = ws.save(coded(able, words, LIST / words**2), "coded").withColumn("key", F.sha2("vector", 256))
+    dims = [r[0] for r in able.select(F.size("embedding")).where(F.size("embedding") > 0).distinct().collect()]
+    vectors = ws.save(coded(able, {dim: lists(dim, words, least) for dim in dims}), "coded").withColumn("key", F.sha2("vector", 256))
     classes = ws.save(vectors.groupBy("label", "key").agg(F.min("id").alias("first"), F.countDistinct("id").alias("weight")).where("weight > 1"), "classes")
     of_class = vectors.select("id", "label", "key").join(classes, ["label", "key"]).select("id", "first", "weight").dropDuplicates(["id"])
     of_class = ws.save(of_class, "members")
