@@ -165,6 +165,24 @@ def test_lines_are_brute_force(docs, texts):
     assert lines.line_report(empty(docs)).count() == 0
 
 
+def test_whole_lines_are_brute_force(spark):
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdefghij"), 7)) for _ in range(60)]
+    long = [" ".join(rng.choice(words, 40)) for _ in range(6)]
+    texts = ["https://a.org/x/1", "https://b.net/yy/2", "International", "Internet", "1234567890123", "1234569999999", "漢字仮名交文一二三四五", "漢字仮名交文六七八九十", "ab", "AB ", "abc", *long, *[x[:200] + "QQ" + x[200:] for x in long], *[x[:70] + " " + x[90:] for x in long], *[" ".join(w[:6] + "z" for w in x.split()) for x in long], " \t", "x" * 64, "x" * 66 + "y"]
+    sets = {}
+    for t in texts:
+        own = t.lower().strip(" \t\r")
+        sets[t] = {own[k : k + 6] for k in range(max(1, len(own) - 5))} if own else set()
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if sets[texts[a]] and sets[texts[b]] and 100 * len(sets[texts[a]] & sets[texts[b]]) >= 80 * len(sets[texts[a]] | sets[texts[b]])]
+    component = components(range(len(texts)), links)
+    want = {i for i in component if component[i] != i}
+    assert len(want) >= 7 and not want & set(range(9))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in lines.line_report(docs, whole=True).collect()} == want
+    assert {r.doc_id for r in docs.join(lines.remove_duplicate_lines(docs, whole=True), "doc_id", "left_anti").collect()} == want
+
+
 def test_quality_counts_and_trees(spark, docs, texts):
     labels = quality.labelled(spark.read.parquet(f"{SF}/labels.parquet"))
     trees = quality.learn(docs.selectExpr("doc_id as id", "text"), labels)

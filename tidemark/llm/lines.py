@@ -1,6 +1,7 @@
 """Operator 9 (DataFrame functions only): fuzzy line dedup by MinHash.
 
-A line's set holds the hashes of its character shingles that begin a word, case folded. One pass of a hash aggregate keeps
+A line's set holds the hashes of its character shingles, case folded: those at every position, or (``whole=False``) only those
+that begin a word, by which lines that differ after a word's first characters are equal. One pass of a hash aggregate keeps
 the least hash of each of BINS bins a line (one-permutation MinHash); the text itself isn't shuffled for this. Bands of two
 bins give candidates, the exact Jaccard similarity of the sets decides, and distributed union-find over the links leaves
 one line per component: the first by (document, line).
@@ -19,6 +20,8 @@ WIDTH, BANDS, BAND_ROWS = 6, 6, 2
 BINS = BANDS * BAND_ROWS
 #: Bins that two lines of a bucket share at least to be tested where whole buckets are left; 9.6 on average at similarity 0.8.
 AGREE = 5
+#: Characters of a stretch of a line, from whose start its shingles are looked up.
+STRETCH = 64
 #: Pieces that hold the characters of a shingle.
 SPAN = WIDTH // 2
 
@@ -44,8 +47,28 @@ def after(parts: str, k: int) -> Column:
     return F.slice(parts, k + 1, F.greatest(F.size(parts) - k, F.lit(0)))
 
 
-def exploded(lines: DataFrame) -> DataFrame:
+def stretches(line: Column) -> Column:
+    """Pieces of a line, case folded and without white space at its ends, that hold its shingles once each; shingles of a long line don't start from its beginning."""
+    own = F.trim(F.lower(line), F.lit(SPACE))
+    cut = F.regexp_extract_all(own, F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0))
+    short = F.when(own == "", F.array().cast("array<string>")).when(F.char_length(own) < WIDTH, F.array(own))
+    return short.otherwise(F.filter(F.zip_with(cut, F.slice(cut, 2, F.greatest(F.size(cut), F.lit(1))), lambda x, y: F.concat(x, F.substring(F.coalesce(y, F.lit("")), 1, WIDTH - 1))), lambda x: F.char_length(x) >= WIDTH))
+
+
+def places_in(stretch: Column) -> Column:
+    return F.sequence(F.lit(1), F.greatest(F.char_length(stretch) - (WIDTH - 1), F.lit(1)))
+
+
+def whole_set(line: Column) -> Column:
+    """The distinct shingles at every position of a line."""
+    return F.array_distinct(F.flatten(F.transform(stretches(line), lambda x: F.transform(places_in(x), lambda i: F.xxhash64(F.substring(x, i, F.lit(WIDTH)))))))
+
+
+def exploded(lines: DataFrame, whole: bool) -> DataFrame:
     """(id, line) -> (id, h): a row per shingle, repeats included."""
+    if whole:
+        pieced = lines.select("id", F.explode(stretches(F.col("line"))).alias("s"))
+        return pieced.select("id", "s", F.explode(places_in(F.col("s"))).alias("i")).select("id", F.xxhash64(F.substring("s", F.col("i"), F.lit(WIDTH))).alias("h"))
     parts = lines.select("id", pieces(F.col("line")).alias("p"))
     rows = parts.select("id", F.inline(F.arrays_zip(F.col("p").alias("p0"), *[after("p", k).alias(f"p{k}") for k in range(1, SPAN)])))
     return rows.select("id", shingle("p0", *[F.coalesce(f"p{k}", F.lit("")) for k in range(1, SPAN)]).alias("h"))
@@ -63,11 +86,11 @@ def occurrences(docs: DataFrame, id: str, text: str) -> DataFrame:
     return docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("doc"), F.posexplode(F.split(F.col(text), "\n")).alias("at", "line"))
 
 
-def duplicate_lines(docs: DataFrame, ws: Workspace, id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
+def duplicate_lines(docs: DataFrame, ws: Workspace, id: str = "doc_id", text: str = "text", percent: int = 80, whole: bool = False) -> DataFrame:
     """(doc, at, key, component) of every line that isn't the first of its component; key is the line's 64-bit hash."""
     every = occurrences(docs, id, text)
     key = F.xxhash64("line")
-    hashed = exploded(every.select(key.alias("id"), "line"))
+    hashed = exploded(every.select(key.alias("id"), "line"), whole)
     least = [F.min(F.when(F.pmod("h", F.lit(BINS)) == i, F.shiftright("h", 32).cast("int"))).alias(f"m{i}") for i in range(BINS)]
     signed = ws.save(hashed.groupBy("id").agg(F.count("*").alias("n"), *least), "signed")
     bins = [f"m{i}" for i in range(BINS)]
@@ -81,10 +104,13 @@ def duplicate_lines(docs: DataFrame, ws: Workspace, id: str = "doc_id", text: st
     live = ws.save(members.join(shared, "bucket"), "live")
     ws.drop("members")
     text_of = every.select(key.alias("id"), "line").join(live.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    sets = ws.save(shingle_sets(text_of), "sets")
+    # whole sets take eight times the text, so they are cut where the two lines of a pair have met
+    sets = ws.save(text_of.select("id", F.col("line").alias("set")) if whole else shingle_sets(text_of), "sets")
 
     def verify(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+        if whole:
+            both = both.select("a", "b", whole_set(F.col("x")).alias("x"), whole_set(F.col("y")).alias("y"))
         common = F.size(F.array_intersect("x", "y"))
         return both.where(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b")
 
@@ -105,24 +131,24 @@ def duplicate_lines(docs: DataFrame, ws: Workspace, id: str = "doc_id", text: st
     return ws.save(again.join(top, "component").where("doc <> first_doc or at <> first_at").select("doc", "at", "key", "component"), "duplicates")
 
 
-def line_report(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
+def line_report(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80, whole: bool = False) -> DataFrame:
     """One row per document that loses lines: id, n_removed, removed_lines (sorted, from 0).
 
     Lines are the parts between line feeds, over whole texts. Lines without a word are left alone, as are documents with a
     null id; a null text has no lines. Rows that repeat an id count as one document. Equal lines are one class and are
-    tested once. An empty table gives an empty result. Line keys have 64 bits. Other columns aren't read.
+    tested once. An empty table gives an empty result. whole: see the module. Line keys have 64 bits. Other columns aren't read.
     """
-    found = duplicate_lines(docs, Workspace(docs.sparkSession, "lines"), id, text, percent)
+    found = duplicate_lines(docs, Workspace(docs.sparkSession, "lines"), id, text, percent, whole)
     lines = F.array_sort(F.collect_set("at"))
     return found.groupBy(F.col("doc").alias(id)).agg(F.countDistinct("at").alias("n_removed"), lines.alias("removed_lines"))
 
 
-def remove_duplicate_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
+def remove_duplicate_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80, whole: bool = False) -> DataFrame:
     """``docs`` with its columns, without lines that repeat an earlier one; documents that lose all their words go.
 
     A line is removed where both its place and its hash were found, so rows that share an id are safe.
     """
-    found = duplicate_lines(docs, Workspace(docs.sparkSession, "lines"), id, text, percent)
+    found = duplicate_lines(docs, Workspace(docs.sparkSession, "lines"), id, text, percent, whole)
     drops = found.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set(F.struct(F.col("at"), F.col("key"))).alias("__drops"))
     joined = docs.join(drops, F.col(id).cast("long") == F.col("__doc"), "left")
     kept = F.filter(F.split(F.col(text), "\n"), lambda line, i: ~F.array_contains("__drops", F.struct(i.alias("at"), F.xxhash64(line).alias("key"))))

@@ -49,7 +49,7 @@ def op8_bytebpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.line_report(read(spark, sf_dir, "documents"))
+    return lines.line_report(read(spark, sf_dir, "documents"), whole=True)
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
