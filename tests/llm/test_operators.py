@@ -138,6 +138,25 @@ def test_suffixes_are_brute_force(docs, texts):
     assert suffixes.passage_report(empty(docs)).count() == 0
 
 
+@pytest.mark.parametrize("partitions", ["1", "7"])
+def test_suffixes_find_what_members_of_a_run_share(spark, partitions):
+    rows = []
+    for c in range(40):  # the first text has the middle 50 words of a passage of 69 that two others share
+        passage = [f"c{c}p{i}" for i in range(69)]
+        middle = [*(f"a{c}x{i}" for i in range(9)), *passage[9:59], *(f"a{c}y{i}" for i in range(9))]
+        rows += [(c, " ".join(middle)), (100 + c, " ".join([f"b{c}", *passage, f"b{c}z"])), (200 + c, " ".join([f"d{c}", f"e{c}", *passage, f"d{c}z"]))]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        got = defaultdict(set)
+        for r in suffixes.passage_report(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+            got[r.doc_id].update(range(r.start_word, r.start_word + r.n_words))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for c in range(40):
+        assert got[100 + c] == set(range(10, 60)) and got[200 + c] == set(range(2, 71))
+
+
 def test_lines_are_brute_force(docs, texts):
     sets = {}
     for t in texts.values():

@@ -5,8 +5,8 @@ is least. The choice depends on the words alone, so every passage of LEAST words
 places at the same distance from its start, and from there at least HEAD = LEAST - WINDOW + 1 words agree. The retained
 suffixes are sorted by their first HEAD words, then by place, and compared with their neighbours: a run of equal heads is
 headed by its first place. Each match with the head is extended left and right over the whole texts, and counts from LEAST
-words on. Where a match falls short, members of its run may still match one another: for those runs all windows of LEAST
-words around the suffixes are sorted in a second round, in which no match can fall short.
+words on. Members of a run of three or more may share more with one another than with its head, whether they match that or
+not: for those runs all windows of LEAST words around the suffixes are sorted in a second round, in which no match can fall short.
 
 Equal texts are one class, of which one is looked at. Sorting is by range over (head, document, place), so one head
 of any number of suffixes is spread over partitions; a run that crosses a border has a local head, matched to the one before.
@@ -177,9 +177,9 @@ def repeated_passages(docs: DataFrame, ws: Workspace, id: str = "doc_id", text:
         both = pairs.join(texts, "doc").join(texts.select(F.col("doc").alias("to_doc"), F.col("text").alias("to_text")), "to_doc")
         matched = ws.save(extend(both.select("doc", "to_doc", "anchors", "text", "to_text")), f"matched-{k}", TEXT_ROWS)
         found.append(matched.where("n > 0"))
-        if not k:  # those that fall short, and the heads that they fell short of, may match others
-            short = matched.where("n = 0").select("head").distinct()
-            again = table.join(short, "head", "left_semi").groupBy("doc").agg(F.collect_set("at").alias("ats"))
+        if not k:  # members of a run of three or more may share more with each other than with its head
+            many = table.groupBy("head").count().where("count > 2").select("head")
+            again = table.join(many, "head", "left_semi").groupBy("doc").agg(F.collect_set("at").alias("ats"))
             table = ws.save(whole_windows(again.join(texts, "doc").select("doc", "ats", "text")), "windows", TEXT_ROWS)
     found = found[0].union(found[1])
     spans = found.select("doc", "start", "n", "to_doc", "to_start")
