@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -56,6 +57,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+        self.tidied = 0.0
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -68,9 +70,25 @@ class Workspace:
             df.write.mode("overwrite").parquet(self.path(name))
         finally:
             self.spark.conf.set(key, before)
-        self.spark._jvm.System.gc()  # lets Spark remove the shuffle files of what is now written
+        self.tidy()
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def tidy(self) -> None:
+        """Lets Spark remove the shuffle files of what is now written, at most once in a few seconds."""
+        if time.monotonic() - self.tidied > 3:
+            self.spark._jvm.System.gc()
+            self.tidied = time.monotonic()
+
+    def bucketed(self, df: DataFrame, name: str, column: str) -> DataFrame:
+        """``save`` into buckets by ``column``, as many as there are shuffle partitions: joins and groups by it need no shuffle of this table."""
+        table = f"{name}_{uuid.uuid4().hex}"
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.format("parquet").bucketBy(n, column).option("path", self.path(name)).saveAsTable(table)
+        self.tidy()
+        found = self.spark.table(table)
+        self.spark.sql(f"drop table {table}")  # of the catalogue only: the files stay
+        return found
+
     def drop(self, *names: str) -> None:
         jvm = self.spark._jvm
         for name in names:

@@ -1,10 +1,11 @@
 """Operator 9 (DataFrame functions only): fuzzy line dedup by MinHash.
 
-A line's set holds the hashes of its character shingles, case folded: those at every position, or (``whole=False``) only those
-that begin a word, by which lines that differ after a word's first characters are equal. One pass of a hash aggregate keeps
-the least hash of each of BINS bins a line (one-permutation MinHash); the text itself isn't shuffled for this. Bands of two
-bins give candidates, the exact Jaccard similarity of the sets decides, and distributed union-find over the links leaves
-one line per component: the first by (document, line).
+A line's set holds the hashes of its character shingles at every position, of the line in lower case without white space
+at its ends. Distinct lines are one row of a table bucketed by their id, which every later step joins in place: texts are
+shuffled once. One-permutation MinHash deals a line's shingles to bins and keeps the least of each; ROWS bins are a band,
+so that one hash aggregate by (line, band) yields the bands themselves. Lines that share a band are compared by their
+signatures, then by the exact Jaccard similarity of their sets, and distributed union-find over the links leaves one line
+per component: the first by (document, line).
 """
 
 from __future__ import annotations
@@ -13,144 +14,163 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace
-from .linking import link_buckets
+from .linking import Test, link_buckets
 
-#: Characters of a shingle. A pair at similarity 0.8 shares none of 6 bands of 2 with probability (1 - 0.64) ** 6 = 0.002.
-WIDTH, BANDS, BAND_ROWS = 6, 6, 2
-BINS = BANDS * BAND_ROWS
-#: Bins that two lines of a bucket share at least to be tested where whole buckets are left; 9.6 on average at similarity 0.8.
-AGREE = 5
-#: Characters of a stretch of a line, from whose start its shingles are looked up.
-STRETCH = 64
-#: Pieces that hold the characters of a shingle.
-SPAN = WIDTH // 2
-
-
-#: The white space that parts words, and the places at which a word begins after some.
+#: Characters of a shingle. A pair at similarity 0.8 shares none of 12 bands of 4 with probability (1 - 0.8 ** 4) ** 12 = 0.0018.
+WIDTH, BANDS, ROWS = 6, 12, 4
+#: Bins that may differ in a pair that is still compared: more than 26 of 48 differ at similarity 0.8 with a probability below 1e-7.
+DIFFER = 26
+#: The white space that parts words.
 SPACE = " \t\n\x0b\f\r"
-BEGINS = r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"
-
-
-def pieces(line: Column) -> Column:
-    """The words of a line, case folded, each with the white space after it."""
-    own = F.ltrim(F.lower(line), F.lit(SPACE))
-    return F.when(own == "", F.array().cast("array<string>")).otherwise(F.split(own, BEGINS))
 
 
-def shingle(*parts: Column) -> Column:
-    """The hash of the WIDTH characters that a word begins, from its piece and the next ones; a piece but the last has two characters at least."""
-    return F.xxhash64(F.substring(F.concat(*parts), 1, WIDTH))
+def shingles(own: Column) -> Column:
+    """The shingles of a line at every position, repeats included; a shorter line is one shingle. The characters take four bytes each, so each is cut out in constant time."""
+    cut = lambda wide: F.transform(places(wide), lambda i: hashed(wide, i))
+    return F.flatten(F.transform(F.array(F.encode(own, "UTF-32")), cut))
 
 
-def after(parts: str, k: int) -> Column:
-    """The pieces from the k-th next one on."""
-    return F.slice(parts, k + 1, F.greatest(F.size(parts) - k, F.lit(0)))
+def places(wide: Column) -> Column:
+    return F.sequence(F.lit(0), F.greatest((F.octet_length(wide) / 4).cast("int") - WIDTH, F.lit(0)))
 
 
-def stretches(line: Column) -> Column:
-    """Pieces of a line, case folded and without white space at its ends, that hold its shingles once each; shingles of a long line don't start from its beginning."""
-    own = F.trim(F.lower(line), F.lit(SPACE))
-    cut = F.regexp_extract_all(own, F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0))
-    short = F.when(own == "", F.array().cast("array<string>")).when(F.char_length(own) < WIDTH, F.array(own))
-    return short.otherwise(F.filter(F.zip_with(cut, F.slice(cut, 2, F.greatest(F.size(cut), F.lit(1))), lambda x, y: F.concat(x, F.substring(F.coalesce(y, F.lit("")), 1, WIDTH - 1))), lambda x: F.char_length(x) >= WIDTH))
+def hashed(wide: Column, place: Column) -> Column:
+    return F.xxhash64(F.substring(wide, place * 4 + 1, F.lit(4 * WIDTH)))
 
 
-def places_in(stretch: Column) -> Column:
-    return F.sequence(F.lit(1), F.greatest(F.char_length(stretch) - (WIDTH - 1), F.lit(1)))
-
+def folded(line: Column) -> Column:
+    """The line in lower case, without white space at its ends."""
+    own = F.ltrim(F.lower(line), F.lit(SPACE))
+    ends = F.lit(False)
+    for c in SPACE:
+        ends = ends | F.endswith(own, F.lit(c))
+    return F.when(ends, F.rtrim(own, F.lit(SPACE))).otherwise(own)
 
-def whole_set(line: Column) -> Column:
-    """The distinct shingles at every position of a line."""
-    return F.array_distinct(F.flatten(F.transform(stretches(line), lambda x: F.transform(places_in(x), lambda i: F.xxhash64(F.substring(x, i, F.lit(WIDTH)))))))
 
+def occurrences(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """(doc, at, line), a row per line with a word of the documents with an id."""
+    every = docs.where(F.col(f"`{id}`").isNotNull()).select(F.col(f"`{id}`").cast("long").alias("doc"), F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("at", "line"))
+    return every.where(F.ltrim("line", F.lit(SPACE)) != "")
 
-def exploded(lines: DataFrame, whole: bool) -> DataFrame:
-    """(id, line) -> (id, h): a row per shingle, repeats included."""
-    if whole:
-        pieced = lines.select("id", F.explode(stretches(F.col("line"))).alias("s"))
-        return pieced.select("id", "s", F.explode(places_in(F.col("s"))).alias("i")).select("id", F.xxhash64(F.substring("s", F.col("i"), F.lit(WIDTH))).alias("h"))
-    parts = lines.select("id", pieces(F.col("line")).alias("p"))
-    rows = parts.select("id", F.inline(F.arrays_zip(F.col("p").alias("p0"), *[after("p", k).alias(f"p{k}") for k in range(1, SPAN)])))
-    return rows.select("id", shingle("p0", *[F.coalesce(f"p{k}", F.lit("")) for k in range(1, SPAN)]).alias("h"))
 
+def keys(line: str = "line") -> tuple[Column, Column]:
+    """A line's two hashes, 128 bits together."""
+    return F.xxhash64(line), F.xxhash64(F.lit(1), line)
 
-def shingle_sets(lines: DataFrame) -> DataFrame:
-    """(id, line) -> (id, set): the distinct shingles."""
-    parts = lines.select("id", pieces(F.col("line")).alias("p"))
-    hashes = F.transform("p", lambda x, i: shingle(x, *[F.coalesce(F.get("p", i + k), F.lit("")) for k in range(1, SPAN)]))
-    return parts.select("id", F.array_distinct(hashes).alias("set"))
 
+def identified(ws: Workspace, every: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``every`` (line, ...) with an id, and a bucketed table (id, own) of distinct lines.
 
-def occurrences(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """(doc, at, line), a row per line of the documents with an id."""
-    return docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("doc"), F.posexplode(F.split(F.col(text), "\n")).alias("at", "line"))
-
-
-def duplicate_lines(docs: DataFrame, ws: Workspace, id: str = "doc_id", text: str = "text", percent: int = 80, whole: bool = False) -> DataFrame:
-    """(doc, at, key, component) of every line that isn't the first of its component; key is the line's 64-bit hash."""
-    every = occurrences(docs, id, text)
-    key = F.xxhash64("line")
-    hashed = exploded(every.select(key.alias("id"), "line"), whole)
-    least = [F.min(F.when(F.pmod("h", F.lit(BINS)) == i, F.shiftright("h", 32).cast("int"))).alias(f"m{i}") for i in range(BINS)]
-    signed = ws.save(hashed.groupBy("id").agg(F.count("*").alias("n"), *least), "signed")
-    bins = [f"m{i}" for i in range(BINS)]
-    # sets of up to three shingles link with equal ones only, which share all bins
-    band = [F.xxhash64(F.lit(BANDS), *bins)]
-    for b in range(BANDS):
-        own = bins[b * BAND_ROWS : (b + 1) * BAND_ROWS]
-        band.append(F.when((F.col("n") > 3) & F.coalesce(*own).isNotNull(), F.xxhash64(F.lit(b), *own)))
-    members = ws.save(signed.select("id", F.explode(F.array(*band)).alias("bucket")).where("bucket is not null").select("bucket", "id", F.lit(1).alias("size")), "members")
+    The id is the first hash of a line, but the second one where several lines have the same first one.
+    """
+    first, second = keys()
+    keyed = every.withColumn("id", first).withColumn("k2", second)
+    for name in ("lines", "parted"):
+        table = keyed.groupBy("id").agg(F.min("k2").alias("low"), F.max("k2").alias("high"), F.any_value("line").alias("line"))
+        table = ws.bucketed(table.select("id", "low", "high", folded(F.col("line")).alias("own")), name, "id")
+        same = table.where("low <> high").select(F.col("id").alias("same"))
+        if name == "parted" or not same.limit(1).count():
+            return keyed, table.select("id", "own")
+        ws.drop(name)
+        same = ws.save(keyed.groupBy("id").agg(F.min("k2").alias("low"), F.max("k2").alias("high")).where("low <> high").select(F.col("id").alias("same")), "same")
+        joined = keyed.join(same, F.col("id") == F.col("same"), "left")
+        keyed = joined.withColumn("id", F.when(F.col("same").isNull(), F.col("id")).otherwise(F.col("k2"))).drop("same")
+    raise AssertionError
+
+
+def signed(lines: DataFrame) -> DataFrame:
+    """(id, own), bucketed by id -> (id, band, n, b0 ..): the least hash of each bin of each band, and the positions of the line."""
+    wide = lines.select("id", F.encode("own", "UTF-32").alias("wide"))
+    rows = wide.select("id", "wide", F.explode(places(F.col("wide"))).alias("i"))
+    rows = rows.select("id", (F.octet_length("wide") / 4).cast("int").alias("n"), hashed(F.col("wide"), F.col("i")).alias("h"))
+    rows = rows.select("id", "n", F.pmod(F.shiftright("h", 8), F.lit(BANDS)).cast("int").alias("band"), F.col("h").bitwiseAND(F.lit(ROWS - 1)).alias("row"), F.shiftright("h", 32).cast("int").alias("value"))
+    least = [F.min(F.when(F.col("row") == r, F.col("value"))).alias(f"b{r}") for r in range(ROWS)]
+    return rows.groupBy("id", "band").agg(F.max("n").alias("n"), *least)
+
+
+def traits(bands: DataFrame) -> DataFrame:
+    """(id, n, trait): 8 bits of each bin, 0 for an empty one, 8 bins an integer."""
+    rows = [F.coalesce(F.pmod(f"b{r}", F.lit(255)) + 1, F.lit(0)) for r in range(ROWS)]
+    held = rows[0].cast("long")
+    for r in range(1, ROWS):
+        held = held.bitwiseOR(F.shiftleft(rows[r].cast("long"), 8 * r))
+    halves = [F.sum(F.when(F.shiftright("band", 1) == j, F.when(F.pmod("band", F.lit(2)) == 0, held).otherwise(F.shiftleft(held, 32)))) for j in range(BANDS // 2)]
+    return bands.groupBy("id").agg(F.max("n").alias("n"), *[F.coalesce(x, F.lit(0)).alias(f"t{j}") for j, x in enumerate(halves)]).select("id", "n", F.array(*[f"t{j}" for j in range(BANDS // 2)]).alias("trait"))
+
+
+def near(pairs: DataFrame) -> DataFrame:
+    """The pairs whose signatures (n, trait) differ in few enough bins. An element that only one set has changes one bin at most, so short lines are judged exactly."""
+    differ, (x, y) = F.lit(0), (F.col("x"), F.col("y"))
+    for i in range(BANDS // 2):
+        z = x["trait"][i].bitwiseXOR(y["trait"][i])
+        for s in (4, 2, 1):
+            z = z.bitwiseOR(F.shiftrightunsigned(z, s))
+        differ += F.bit_count(z.bitwiseAND(F.lit(0x0101010101010101)))
+    some = pairs.select("a", "b", "salt", differ.alias("differ"), (x["n"] + y["n"]).alias("n"))
+    return some.where((F.col("differ") <= DIFFER) & (F.col("differ") * 9 <= F.col("n"))).select("a", "b", "salt")
+
+
+def duplicate_lines(docs: DataFrame, ws: Workspace, id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
+    """(doc, at, id, k2, component) of every line that isn't the first of its component; id and k2 identify the line."""
+    keyed, lines = identified(ws, occurrences(docs, id, text))
+    bands = ws.bucketed(signed(lines), "bands", "id")
+    marks = ws.bucketed(traits(bands), "traits", "id")
+    mins = [f"b{r}" for r in range(ROWS)]
+    members = bands.select(F.xxhash64("band", *mins).alias("bucket"), "id")
     shared = ws.save(members.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("bucket"), "buckets")
     live = ws.save(members.join(shared, "bucket"), "live")
-    ws.drop("members")
-    text_of = every.select(key.alias("id"), "line").join(live.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    # whole sets take eight times the text, so they are cut where the two lines of a pair have met
-    sets = ws.save(text_of.select("id", F.col("line").alias("set")) if whole else shingle_sets(text_of), "sets")
+    ws.drop("bands")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-        if whole:
-            both = both.select("a", "b", whole_set(F.col("x")).alias("x"), whole_set(F.col("y")).alias("y"))
+        both = pairs.select("a", "b", "salt", F.array_distinct(shingles(F.col("x.own"))).alias("x"), F.array_distinct(shingles(F.col("y.own"))).alias("y"))
         common = F.size(F.array_intersect("x", "y"))
-        return both.where(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b")
+        return both.where(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b", "salt")
 
-    def near(x: str, y: str) -> Column:
-        return sum(F.when(F.col(x)[i].eqNullSafe(F.col(y)[i]), 1).otherwise(0) for i in range(BINS)) >= AGREE
+    def tokens(some: DataFrame) -> DataFrame:
+        return lines.join(some, "id").select("id", F.explode(F.array_distinct(shingles(F.col("own")))).alias("token"))
 
-    linked = link_buckets(ws, live, verify, percent, traits=signed.select("id", F.array(*bins).alias("trait"), F.array(*band).alias("bands")), near=near, n_bands=len(band))
-    places = every.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select("doc", "at", key.alias("key"))
+    linked = link_buckets(ws, live, [Test(marks, near), Test(lines, verify)], percent, tokens)
+    places = keyed.select("doc", "at", "id", "k2")
     if linked is None:
-        placed = places.withColumn("component", F.col("key"))
+        placed = places.withColumn("component", F.col("id"))
     else:
-        placed = places.join(linked, F.col("key") == F.col("node"), "left").select("doc", "at", "key", F.coalesce("component", "key").alias("component"))
+        placed = places.join(linked, F.col("id") == F.col("node"), "left").select("doc", "at", "id", "k2", F.coalesce("component", "id").alias("component"))
     placed = ws.save(placed, "placed")
+    ws.drop("live", "lines", "parted", "traits", "buckets")
     first = placed.groupBy("component").agg(F.count("*").alias("n"), F.min("doc").alias("first_doc")).where("n > 1").drop("n")
     again = ws.save(placed.join(ws.save(first, "first"), "component"), "again")
     # within the first document, the first line
     top = ws.save(again.where("doc = first_doc").groupBy("component").agg(F.min("at").alias("first_at")), "top")
-    return ws.save(again.join(top, "component").where("doc <> first_doc or at <> first_at").select("doc", "at", "key", "component"), "duplicates")
+    found = ws.save(again.join(top, "component").where("doc <> first_doc or at <> first_at").select("doc", "at", "id", "k2", "component"), "duplicates")
+    ws.drop("placed", "first", "again", "top")
+    return found
 
 
-def line_report(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80, whole: bool = False) -> DataFrame:
+def line_report(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """One row per document that loses lines: id, n_removed, removed_lines (sorted, from 0).
 
     Lines are the parts between line feeds, over whole texts. Lines without a word are left alone, as are documents with a
     null id; a null text has no lines. Rows that repeat an id count as one document. Equal lines are one class and are
-    tested once. An empty table gives an empty result. whole: see the module. Line keys have 64 bits. Other columns aren't read.
+    tested once. An empty table gives an empty result. Other columns aren't read.
     """
-    found = duplicate_lines(docs, Workspace(docs.sparkSession, "lines"), id, text, percent, whole)
+    found = duplicate_lines(docs, Workspace(docs.sparkSession, "lines"), id, text, percent)
     lines = F.array_sort(F.collect_set("at"))
     return found.groupBy(F.col("doc").alias(id)).agg(F.countDistinct("at").alias("n_removed"), lines.alias("removed_lines"))
 
 
-def remove_duplicate_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80, whole: bool = False) -> DataFrame:
+def remove_duplicate_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """``docs`` with its columns, without lines that repeat an earlier one; documents that lose all their words go.
 
-    A line is removed where both its place and its hash were found, so rows that share an id are safe.
+    Nulls, repeats and an empty table as in ``line_report``. A line is removed where both its place and its hashes were
+    found, so rows that share an id are safe. Columns of any name pass through.
     """
-    found = duplicate_lines(docs, Workspace(docs.sparkSession, "lines"), id, text, percent, whole)
-    drops = found.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set(F.struct(F.col("at"), F.col("key"))).alias("__drops"))
-    joined = docs.join(drops, F.col(id).cast("long") == F.col("__doc"), "left")
-    kept = F.filter(F.split(F.col(text), "\n"), lambda line, i: ~F.array_contains("__drops", F.struct(i.alias("at"), F.xxhash64(line).alias("key"))))
-    out = joined.withColumn(text, F.when(F.col("__drops").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")))
-    return out.where(F.col("__drops").isNull() | F.col(text).rlike(r"[^\x20\x09-\x0D]")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = duplicate_lines(docs, Workspace(docs.sparkSession, "lines"), id, text, percent)
+    lost = found.groupBy("doc").agg(F.collect_set(F.struct("at", *[k.alias(n) for n, k in zip(("k1", "k2"), (F.col("id"), F.col("k2")), strict=True)])).alias("drops"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = whole.join(lost, F.col("row")[id].cast("long") == F.col("doc"), "left")
+    own = F.col("row")[text]
+    gone = lambda line, i: F.struct(i.alias("at"), F.xxhash64(line).alias("k1"), F.xxhash64(F.lit(1), line).alias("k2"))
+    kept = F.filter(F.split(own, "\n"), lambda line, i: ~F.array_contains("drops", gone(line, i)))
+    out = joined.select("row", F.when(F.col("drops").isNull(), own).otherwise(F.array_join(kept, "\n")).alias("left"), F.col("drops").isNull().alias("whole"))
+    out = out.where(F.col("whole") | (F.ltrim(F.regexp_replace("left", "\n", " "), F.lit(SPACE)) != ""))
+    return out.select(*[(F.col("left") if c == text else F.col("row")[c]).alias(c) for c in docs.columns])

@@ -1,66 +1,108 @@
 """Components of the true links inside candidate buckets, without all pairs of a bucket.
 
 Only connectivity is asked for, so two members that are known to be connected need no test. Each round takes one hub a
-bucket and tests its members against it; the members that this connects leave the work. What stays in buckets of several
-components after some rounds is tested in full across components, so that no link of a bucket is lost.
+bucket and tests its members against it; the hub and the members that it connects leave the work. Buckets that still hold
+many components after some rounds are parted by prefix filtering: of each member's tokens, rarest in the bucket first, so
+many are taken that two members with a link share one (for n tokens and a similarity of t: n - ceil(t n) + 1), and the
+buckets of these tokens go on in the place of the large one, with several hubs a round, until none is large. No link of a
+bucket is lost on the way, and no member ever meets more than LARGE others at once.
+
+A hub of any number of pairs is spread: its row is copied once for every SPREAD pairs, and each pair joins one copy.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, components
 
-#: Rounds with one hub a bucket before the pairs that are left are tested in full.
-STAR_ROUNDS = 4
+#: Rounds with one hub a bucket before large buckets are parted, and hubs of a bucket in each round from then on.
+STAR_ROUNDS, HUBS = 3, 16
+#: Members of several components from which a bucket is large.
+LARGE = 32
+#: Pairs of a hub that one copy of its row serves.
+SPREAD = 1024
+
+
+@dataclass
+class Test:
+    """A test of pairs: a table of what it needs of each member (id, ...), and a function that takes rows (a, b, salt, x, y), x and y the structs of a and b, and returns the (a, b, salt) that pass."""
+
+    table: DataFrame
+    passes: Callable[[DataFrame], DataFrame]
+
+
+def tested(ws: Workspace, pairs: DataFrame, test: Test, name: str) -> DataFrame:
+    """The (a, b, salt) of ``pairs`` that pass; b may be a hub of many pairs."""
+    held = F.struct(*[F.col(f"`{c}`") for c in test.table.columns if c != "id"])
+    both = pairs.join(test.table.select(F.col("id").alias("a"), held.alias("x")), "a")
+    hubs = pairs.select("b", "salt").distinct().join(test.table.select(F.col("id").alias("b"), held.alias("y")), "b")
+    return ws.save(test.passes(both.join(hubs, ["b", "salt"]).select("a", "b", "salt", "x", "y")), name)
 
 
-def link_buckets(ws: Workspace, members: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int, label: str = "link", traits: DataFrame | None = None, near: Callable[[str, str], Column] | None = None, n_bands: int = 0) -> DataFrame | None:
+def link_buckets(ws: Workspace, members: DataFrame, tests: list[Test], percent: int, tokens: Callable[[DataFrame], DataFrame], label: str = "link") -> DataFrame | None:
     """Rows (node, component) for the members of components of two or more, or None if nothing links.
 
-    members: (bucket, id, size), read from a table. verify: takes pairs (a, b), a > b, and returns those that are links.
-    percent: a link needs sizes that differ by no more than this allows. traits: (id, trait, bands); near(x, y) says of two
-    traits whether a link is likely enough to be tested where whole buckets are left, and bands holds the n_bands buckets
-    of an id in a fixed order (null: none), so that a pair comes from the first bucket that it shares only.
+    members: (bucket, id), read from a table. tests: those that a pair must pass, cheapest first. tokens: takes ids and
+    returns the distinct (id, token) of their sets. percent: the least similarity of a link.
     """
-    edges, known, rounds, few = None, None, 0, False
-    live = members.select("bucket", "id", "size", F.col("id").alias("comp"))
+    known, rounds, few, parted = None, 0, False, False
+    live, base = members.select("bucket", "id", F.col("id").alias("comp")), None
     while True:
         rank = F.xxhash64("id", F.lit(rounds)) if rounds else F.col("id")
-        hubs = ws.save(
-            live.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by("id", rank).alias("hub"), F.min_by("comp", rank).alias("hub_comp"), F.min_by("size", rank).alias("hub_size"), F.count("*").alias("n")).where("low <> high").drop("low", "high"),
-            f"{label}-hubs-{rounds}",
-        )
-        left, squares = hubs.agg(F.count("*"), F.sum(F.col("n") * F.col("n").cast("double"))).first()
+        share = F.pmod(F.xxhash64("id", F.lit(-1)), F.lit(HUBS)) if parted else F.lit(0)
+        hubs = live.groupBy("bucket", share.alias("share")).agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by("id", rank).alias("hub"), F.min_by("comp", rank).alias("hub_comp"), F.count("*").alias("n"))
+        if parted:
+            whole = Window.partitionBy("bucket")
+            hubs = hubs.select("bucket", F.min("low").over(whole).alias("low"), F.max("high").over(whole).alias("high"), "hub", "hub_comp", F.sum("n").over(whole).alias("n"))
+        hubs = ws.save(hubs.where("low <> high").select("bucket", "hub", "hub_comp", "n"), f"{label}-hubs-{rounds}")
+        left, most = hubs.agg(F.count("*"), F.max("n")).first()
         if not left:
             break
-        total = hubs.agg(F.sum("n")).first()[0]
-        last = rounds >= STAR_ROUNDS or squares <= 3 * total or few
-        joined = live.join(hubs, "bucket")
+        large, mixed = most > LARGE, hubs.groupBy("bucket").agg(F.max("n").alias("n"))
+        if large and not parted and (few or rounds >= STAR_ROUNDS):
+            joined = live.join(mixed, "bucket")
+            small = joined.where(F.col("n") <= LARGE).select("bucket", "id", "comp")
+            live = ws.save(small.unionByName(prefixes(joined.where(F.col("n") > LARGE), tokens, percent)), f"{label}-parted")
+            parted, few = True, False
+            continue
+        last = not large and (few or parted or rounds >= STAR_ROUNDS)
         if last:
-            mixed = joined.join(traits, "id") if traits is not None else joined.withColumn("trait", F.lit(0)).withColumn("bands", F.lit(None).cast("array<long>"))
-            x = mixed.select("bucket", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("size").alias("sx"), F.col("trait").alias("tx"), F.col("bands").alias("bx"))
-            y = mixed.select("bucket", F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("size").alias("sy"), F.col("trait").alias("ty"), F.col("bands").alias("by"))
-            likely = near("tx", "ty") if near else F.lit(True)
-            once = F.coalesce(*[F.when(F.col("bx")[i] == F.col("by")[i], F.col("bx")[i]) for i in range(n_bands)]) == x["bucket"] if n_bands else F.lit(True)
-            pairs = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("cx") < F.col("cy")) & _sizes("sx", "sy", percent) & likely & once).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+            joined = live.join(mixed, "bucket")
+            x = joined.select("bucket", F.col("id").alias("a"), F.col("comp").alias("ca"))
+            pairs = x.join(joined.select("bucket", F.col("id").alias("b"), F.col("comp").alias("cb")), "bucket").where("ca < cb").select("a", "b", F.lit(0).alias("salt"))
         else:
-            pairs = joined.where("comp <> hub_comp").where(_sizes("size", "hub_size", percent)).select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b"))
-        pairs = ws.save(pairs.distinct(), f"{label}-pairs-{rounds}")
-        found = ws.save(verify(pairs), f"{label}-edges-{rounds}")
-        edges = found if edges is None else edges.union(found)
-        known = components(ws, edges, f"{label}-comp-{rounds}")
+            copy = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / SPREAD)).cast("int")
+            pairs = live.join(hubs, "bucket").where("comp <> hub_comp").select(F.col("id").alias("a"), F.col("hub").alias("b"), copy.alias("salt"))
+        asked = ws.save(pairs.groupBy("a", "b").agg(F.min("salt").alias("salt")), f"{label}-pairs-{rounds}")
+        found = asked
+        for k, test in enumerate(tests):
+            found = tested(ws, found, test, f"{label}-passed-{rounds}-{k}")
+        n_found, n_asked = found.count(), asked.count()
+        if n_found:
+            known = components(ws, found.select("a", "b") if known is None else found.select("a", "b").union(known), f"{label}-comp-{rounds}")
         if last:
             break
-        few = found.count() * 20 < pairs.count()  # hubs connect little more
+        few = n_found * 20 < n_asked  # hubs connect little more
+        again = live.join(mixed.select("bucket"), "bucket").join(hubs.select("bucket", F.col("hub").alias("id")), ["bucket", "id"], "left_anti")
+        if n_found:
+            again = again.select("bucket", "id").join(known, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("comp"))
         rounds += 1
-        again = joined.select("bucket", "id", "size").join(known, F.col("id") == F.col("node"), "left")
-        live = ws.save(again.select("bucket", "id", "size", F.coalesce("component", "id").alias("comp")), f"{label}-live-{rounds}")
+        live = ws.save(again, f"{label}-live-{rounds}")
+        ws.drop(f"{label}-hubs-{rounds - 1}", f"{label}-pairs-{rounds - 1}", f"{label}-live-{rounds - 1}", *[f"{label}-passed-{rounds - 1}-{k}" for k in range(len(tests))])
     return known
 
 
-def _sizes(x: str, y: str, percent: int):
-    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
+def prefixes(large: DataFrame, tokens: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """(bucket, id, comp) of large buckets -> the same for the buckets of their members' prefix tokens."""
+    held = large.select("bucket", "id", "comp").join(tokens(large.select("id").distinct()), "id")
+    common = held.groupBy("bucket", "token").agg(F.count("*").alias("held_by")).where("held_by > 1")
+    counted = held.join(common, ["bucket", "token"], "left")
+    mine = Window.partitionBy("bucket", "id")
+    ranked = counted.withColumn("at", F.row_number().over(mine.orderBy(F.coalesce("held_by", F.lit(1)), "token"))).withColumn("size", F.count("*").over(mine))
+    taken = ranked.where((F.col("at") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1) & F.col("held_by").isNotNull())
+    return taken.select(F.xxhash64("bucket", "token").alias("bucket"), "id", "comp")

@@ -12,19 +12,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, map_steps
-from .linking import link_buckets
+from .linking import Test, link_buckets
 from .words import U, Texts, distinct, mix
 
 #: A pair at similarity 0.8 shares none of 24 bands of 5 with probability (1 - 0.8 ** 5) ** 24 = 0.00007.
 BANDS, BAND_ROWS = 24, 5
 #: Coordinates of a sketch: the bands take the first ones, the estimate that spares hopeless tests takes all.
 COORDINATES = 384
-#: Standard deviations by which the coordinates that differ may exceed those of a pair at the threshold before it counts as no candidate.
-SLACK = 4
+#: Standard deviations by which the coordinates that differ may exceed those of a pair at the threshold before it counts as no
+#: candidate: a pair at the threshold is beyond with a probability below 1e-8, against 7e-5 for sharing no band.
+SLACK = 6
 _VALUE_BITS = 44
 
 
@@ -76,18 +77,19 @@ def nibbles(sketches: np.ndarray) -> np.ndarray:
 
 
 def _near(t: int, percent: int):
-    """Whether two sketches differ in no more coordinates than a link's would, SLACK deviations included."""
+    """Pairs whose set sizes allow a link, and whose sketches differ in no more coordinates than a link's would, SLACK deviations included."""
     odds = (1 - percent / 100) * 15 / 16
     most = t * odds + SLACK * (t * odds * (1 - odds)) ** 0.5
 
-    def near(x: str, y: str) -> Column:
-        differ = F.lit(0)
+    def near(pairs: DataFrame) -> DataFrame:
+        differ, (x, y) = F.lit(0), (F.col("x"), F.col("y"))
         for i in range(-(-t // 16)):
-            z = F.col(x)[i].bitwiseXOR(F.col(y)[i])
+            z = x["trait"][i].bitwiseXOR(y["trait"][i])
             z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
             z = z.bitwiseOR(F.shiftrightunsigned(z, 2))
             differ += F.bit_count(z.bitwiseAND(F.lit(0x1111111111111111)))
-        return differ <= most
+        sizes = F.least(x["size"], y["size"]) * 100 >= F.greatest(x["size"], y["size"]) * percent
+        return pairs.where(sizes & (differ <= most)).select("a", "b", "salt")
 
     return near
 
@@ -113,7 +115,7 @@ def describe(df: DataFrame, k: int, n_bands: int = BANDS, rows: int = BAND_ROWS,
 
 
 def similar(pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b, text_a, text_b) -> the (a, b) whose shingle sets have 100 * intersection >= percent * union."""
+    """(a, b, salt, text_a, text_b) -> the (a, b, salt) whose shingle sets have 100 * intersection >= percent * union."""
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_sets(Texts(batch.column(c)), k) for c in ("text_a", "text_b")]
@@ -121,9 +123,19 @@ def similar(pairs: DataFrame, k: int, percent: int) -> DataFrame:
         group, _ = distinct(np.concatenate([g for g, _ in sets]), np.concatenate([v for _, v in sets]))
         union = np.bincount(group, minlength=batch.num_rows)
         keep = pa.array(((sizes - union) * 100 >= percent * union) & (union > 0))
-        return batch.select(["a", "b"]).filter(keep)
+        return batch.select(["a", "b", "salt"]).filter(keep)
 
-    return map_steps(pairs, ("text_a", "text_b"), make, "a long, b long")
+    return map_steps(pairs, ("text_a", "text_b"), make, "a long, b long, salt int")
+
+
+def members_of(texts: DataFrame, k: int) -> DataFrame:
+    """(id, text) -> (id, token): the distinct shingles of each text."""
+
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        group, values = shingle_sets(Texts(batch.column("text")), k)
+        return pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(group)), pa.array(values.view(np.int64))], ["id", "token"])
+
+    return map_steps(texts, "text", make, "id long, token long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, n_bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
@@ -143,16 +155,21 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k:
     key = ["key1", "key2", "size"]
     classes = ws.save(some.groupBy(*key).agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "classes")
     first = some.join(classes, key, "left").where("first is null or id = first")
-    members = first.select(F.explode("bands").alias("bucket"), "id", "size")
+    members = first.select(F.explode("bands").alias("bucket"), "id")
     shared = ws.save(members.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("bucket"), "buckets")
     live = ws.save(members.join(shared, "bucket").distinct(), "members")
-    texts = ws.save(source.join(live.select("id").distinct(), "id", "left_semi"), "texts")
+    ids = live.select("id").distinct()
+    texts = ws.bucketed(source.join(ids, "id", "left_semi"), "texts", "id")
+    marks = ws.bucketed(first.select("id", "size", "trait").join(ids, "id", "left_semi").distinct(), "traits", "id")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        return similar(both.select("a", "b", "text_a", "text_b"), k, percent)
+        return similar(pairs.select("a", "b", "salt", F.col("x.text").alias("text_a"), F.col("y.text").alias("text_b")), k, percent)
+
+    def tokens(some: DataFrame) -> DataFrame:
+        return members_of(texts.join(some, "id").select("id", "text"), k)
 
-    linked = link_buckets(ws, live, verify, percent, traits=first.select("id", "trait", "bands").dropDuplicates(["id"]), near=_near(COORDINATES, percent), n_bands=n_bands)
+    linked = link_buckets(ws, live, [Test(marks, _near(COORDINATES, percent)), Test(texts, verify)], percent, tokens)
+    ws.drop("texts", "traits", "members", "buckets")
     out = signed.join(classes, key, "left").withColumn("rep", F.expr("case when size > 0 then coalesce(first, id) else id end"))
     if linked is not None:
         out = out.join(linked, out["rep"] == linked["node"], "left")
