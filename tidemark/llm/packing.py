@@ -2,8 +2,8 @@
 
 The configurations are multisets of piece lengths that fit a sequence. The program asks for the fewest sequences that
 cover the histogram of lengths. Multiplicative weights solve it: each length has a weight that falls as its pieces get
-covered, and a knapsack dynamic program over the capacity prices the next configuration. The solution is rounded down to
-whole sequences, what is left over is solved again, and the last remainder goes best-fit decreasing over the histogram.
+covered, and a knapsack dynamic program over the capacity prices the next configurations. They are taken in whole sequences,
+and the pieces of the rounding remainder go best-fit decreasing over the histogram.
 
 The histogram has at most ``capacity`` rows whatever the input, so the plan is made on the driver; the pieces never leave
 the executors. A piece's place follows from its rank among the pieces of its length, which adds a count per (task,
@@ -26,12 +26,14 @@ from pyspark.sql import functions as F
 from .common import Workspace, steps
 from .subwords import WordIds
 
-#: Phases of multiplicative weights, configurations priced in each, and how fast weights fall.
-PHASES, CONFIGURATIONS, RATE = 4, 160, 1.5
+#: Phases of multiplicative weights at most, how fast weights fall, and the part of what a configuration can cover that is taken at once.
+PHASES, RATE, PART = 128, 0.4, 1
+#: The share of the best value from which a phase takes a configuration at first, by how much it falls when none is, and the least.
+CLOSE = (0.999, 0.003, 0.98)
 
 
-def price(weights: np.ndarray, capacity: int) -> dict[int, int]:
-    """The multiset of lengths of the greatest total weight that fits; weights[l] for length l, 0 where there is none."""
+def price(weights: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Knapsack for every room up to ``capacity``: the greatest total weight of lengths that fit, and the length to take first (0: leave one unit)."""
     best, took = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
     for c in range(1, capacity + 1):
         totals = best[c - 1 :: -1] + weights[1 : c + 1]
@@ -40,15 +42,29 @@ def price(weights: np.ndarray, capacity: int) -> dict[int, int]:
             best[c], took[c] = totals[k], k + 1
         else:
             best[c] = best[c - 1]
-    out: dict[int, int] = {}
-    c = capacity
-    while c:
-        if took[c]:
-            out[int(took[c])] = out.get(int(took[c]), 0) + 1
-            c -= int(took[c])
-        else:
-            c -= 1
-    return out
+    return best, took
+
+
+def configuration(first: int, priced: tuple[np.ndarray, np.ndarray], weights: np.ndarray, left: np.ndarray, capacity: int) -> tuple[dict[int, int], float]:
+    """The best configuration that holds a piece of length ``first`` and no more pieces than are left, and its value."""
+    best, took = priced
+    out, room, value = {first: 1}, capacity - first, weights[first]
+    while room:
+        k = int(took[room])
+        if k and out.get(k, 0) >= left[k]:  # the next best that is left
+            totals = best[room - 1 :: -1] + weights[1 : room + 1]
+            for used, n in out.items():
+                if used <= room and n >= left[used]:
+                    totals[used - 1] = -1
+            k = int(totals.argmax()) + 1
+            k = k if weights[k] and out.get(k, 0) < left[k] else 0
+            if not k:
+                break
+        if k:
+            out[k] = out.get(k, 0) + 1
+            value += weights[k]
+        room -= k or 1
+    return out, value
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -91,28 +107,40 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], in
 
 def solve(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
     """Configurations with multiplicities that hold exactly counts[l] pieces of each length l <= capacity."""
-    left, plan = counts.astype(np.int64).copy(), []
-    lengths = np.arange(capacity + 1)
+    plan, left = by_program(counts, capacity)
+    return plan + best_fit(left, capacity)
+
+
+def by_program(counts: np.ndarray, capacity: int) -> tuple[list[tuple[dict[int, int], int]], np.ndarray]:
+    """The configurations of the program, rounded to whole sequences, and the pieces that they leave.
+
+    Each phase prices once: the knapsack gives, for every length, the best configuration that holds it, and those close to
+    the best of all are taken in part, in whole sequences, before the weights of what they cover fall.
+    """
+    left, lengths = counts.astype(np.int64).copy(), np.arange(capacity + 1)
+    need, plan, close = np.maximum(left, 1).astype(float), {}, CLOSE[0]
     for _ in range(PHASES):
-        if left.sum() < 4 * capacity:
+        if not left.any():
             break
-        need, cover, found = left.astype(float), np.zeros(capacity + 1), {}
-        have = need > 0
-        for _ in range(CONFIGURATIONS):
-            weights = np.where(have, lengths / capacity * np.exp(-RATE * cover / np.maximum(need, 1)), 0)
-            pattern = price(weights, capacity)
-            step = min(need[k] / n for k, n in pattern.items()) / 2
-            found.setdefault(tuple(sorted(pattern.items())), [0.0, pattern])[0] += step
-            for k, n in pattern.items():
-                cover[k] += step * n
-        scale = min(1.0, float(left @ lengths) / max(float(cover @ lengths), 1))
-        for share, pattern in sorted(found.values(), key=lambda x: -x[0]):
-            times = min(int(share * scale), min(int(left[k] // n) for k, n in pattern.items()))
-            if times:
-                plan.append((pattern, times))
-                for k, n in pattern.items():
-                    left[k] -= times * n
-    return plan + best_fit(left, capacity)
+        weights = np.where(left > 0, lengths / capacity * np.exp(RATE * (left / need - 1)), 0)
+        priced, taken = price(weights, capacity), 0
+        for k in np.flatnonzero(left)[::-1].tolist():
+            if not left[k] or weights[k] + priced[0][capacity - k] < close * priced[0][capacity]:
+                continue
+            pattern, value = configuration(k, priced, weights, left, capacity)
+            if value < close * priced[0][capacity]:
+                continue
+            times = -(-min(int(left[j] // n) for j, n in pattern.items()) // PART)
+            for j, n in pattern.items():
+                left[j] -= times * n
+            key = tuple(sorted(pattern.items()))
+            plan[key] = plan.get(key, 0) + times
+            taken += times
+        if not taken:
+            close -= CLOSE[1]
+            if close < CLOSE[2]:
+                break
+    return [(dict(key), times) for key, times in plan.items()], left
 
 
 class Slots:
@@ -180,7 +208,8 @@ def pack(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text"
         counts[length] = n
     slots = Slots(solve(counts, capacity))
     before = by_task.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)))
-    ranked = cut.join(ws.save(before.select("length", "task", F.coalesce("before", F.lit(0)).alias("before")), "before"), ["length", "task"])
+    # a row for each length and task: it grows with the input, so it is never broadcast
+    ranked = cut.join(ws.save(before.select("length", "task", F.coalesce("before", F.lit(0)).alias("before")), "before").hint("merge"), ["length", "task"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

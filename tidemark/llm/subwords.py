@@ -7,8 +7,10 @@ pattern, whose ids the BPE model gives without the cost of alignments; any other
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from pathlib import Path
 
 import numpy as np
 
@@ -16,7 +18,8 @@ import numpy as np
 MEMORY = 400_000
 #: Below this code point composition is the identity, and lower-casing doesn't depend on neighbours.
 _PLAIN = re.compile("[\x21-\x7e\xa1-į]+")
-#: The pattern of the tokenizer file, for plain text.
+#: The pattern of tokenizer files whose chunks are taken apart here, and the same for plain text.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _MATCH = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\w\s]|_)+")
 
 
@@ -35,12 +38,19 @@ class WordIds:
         self.whole = Tokenizer.from_file(file)
         self.whole.encode_special_tokens = True
         self.model = self.whole.model
+        spec = json.loads(Path(file).read_text())
+        steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+        split = [x.get("pattern", {}).get("Regex") for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        #: Whether the file has the normaliser and the pattern that chunks and matches rest on; any other encodes whole texts.
+        self.known = steps == ["NFC", "Replace", "Lowercase"] and split == [_SPLIT, None]
         self.letters = _byte_letters()
         self.chunks: dict[bytes, bytes] = {}
         self.matches: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
+        if not self.known:
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         parts = text.encode().split()
         try:
             return b"".join(map(self.chunks.__getitem__, parts))
