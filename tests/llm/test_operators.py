@@ -104,7 +104,8 @@ def test_packing(docs, texts):
         assert [zlib.crc32(ids[s : s + n].tobytes()) for s, n in zip(g.start, g.length, strict=True)] == list(g.ids_crc32)
     for _, g in got.sort_values("offset").groupby("sequence_id"):
         assert list(g.offset) == [0, *np.cumsum(g.length)[:-1]] and g.length.sum() <= 512
-    assert got.sequence_id.nunique() <= len(packing.best_fit(np.bincount(got.length, minlength=513), 512)) * 10
+    by_program, left = packing.by_program(np.bincount(got.length, minlength=513), 512)
+    assert sum(n for _, n in by_program) > sum(n for _, n in packing.best_fit(left, 512)) > 0
     bound = -(-int(got.length.sum()) // 512)
     assert got.sequence_id.nunique() <= bound * 1.02 + 2
     assert packing.pack(empty(docs), file).count() == 0
@@ -122,6 +123,32 @@ def test_configurations_hold_every_piece():
     assert all(held[k] == counts[k] for k in range(65))
 
 
+@pytest.mark.parametrize("scale", [1, 3, 500])
+def test_the_program_packs_most_at_every_size(scale):
+    rng = np.random.default_rng(scale)
+    counts = np.bincount(np.minimum(rng.lognormal(5, 1.2, 400 * min(scale, 20)).astype(int) + 1, 2048), minlength=2049) * -(-scale // 20)
+    plan, left = packing.by_program(counts, 2048)
+    rest = packing.best_fit(left, 2048)
+    taken, plain = sum(n for _, n in plan), sum(n for _, n in packing.best_fit(counts, 2048))
+    assert taken > sum(n for _, n in rest)
+    assert taken + sum(n for _, n in rest) <= plain * 1.001 + 2
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    from tidemark.llm.subwords import WordIds
+
+    spec = json.load(open(public_tokenizers.path("word_bpe_49k.json")))
+    spec["normalizer"] = None
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    text = "It's Über-long 12 words\u0301"
+    want = Tokenizer.from_file(str(tmp_path / "t.json")).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(WordIds(str(tmp_path / "t.json")).encode(text), "<u4").tolist() == want
+
+
 def test_suffixes_are_brute_force(docs, texts):
     words = {i: t.encode().split() for i, t in texts.items()}
     first, want, got = {}, defaultdict(set), defaultdict(set)
@@ -249,10 +276,29 @@ def test_bpe_is_tiktoken(docs, texts):
         ids = right.encode_ordinary(texts[r.doc_id])
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
-    prefixes = bytebpe.Prefixes(bytebpe.Vocabulary(ranks), b"internationally")
-    prefixes.append(b" so")
-    prefixes.replace(5, 9, b"xyz")
-    assert prefixes.ids() == right._encode_single_piece(b"interxyznally so"[:5] + b"xyz" + b"internationally so"[9:]) or prefixes.ids() == bytebpe.Prefixes(prefixes.vocabulary, prefixes.data).ids()
+    assert bytebpe.encode(empty(docs), file, public_tokenizers.PATTERN).count() == 0
+
+
+def test_bpe_prefixes_take_appends_and_edits():
+    import tiktoken
+
+    ranks = bytebpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    right = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    vocabulary, rng = bytebpe.Vocabulary(ranks), np.random.default_rng(9)
+    for letters in (b"aeinst", b" ", b" \n", bytes(range(256))):
+        some = lambda n: bytes(rng.choice(np.frombuffer(letters, np.uint8), n))  # noqa: B023, E731
+        data = some(700)
+        prefixes = bytebpe.Prefixes(vocabulary, data)
+        for _ in range(12):
+            start, end = sorted(int(x) for x in rng.integers(0, len(data) + 1, 2))
+            new, more = some(int(rng.integers(0, 9))), some(int(rng.integers(0, 5)))
+            end = min(end, start + 9)
+            data = data[:start] + new + data[end:] + more
+            prefixes.replace(start, end, new)
+            prefixes.append(more)
+            assert prefixes.data == data and prefixes.ids() == right._encode_single_piece(data)
+    for n in range(len(data)):  # every prefix ends with the token that the encoding of it ends with
+        assert prefixes.last[n] == right._encode_single_piece(data[: n + 1])[-1]
 
 
 def test_warc_round_trip(spark):

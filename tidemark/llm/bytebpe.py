@@ -3,14 +3,18 @@
 The encoding of a byte string determines that of each of its prefixes' last tokens: a prefix has exactly one last token
 that BPE would produce, namely the one that ends the prefix, is itself what BPE makes of its bytes, and whose boundary
 with the last token of what stands before it survives BPE's merges. ``Prefixes`` stores that token for each prefix. So an
-append only looks at the new bytes, an edit recomputes from its place on, and walking back yields the encoding.
+append only looks at the new bytes, an edit recomputes from its place on until the tokens found before come up again, and
+walking back yields the encoding. An automaton over all tokens gives those that end at a byte, so no substring is tried in vain.
 """
 
 from __future__ import annotations
 
 import base64
+import struct
+from functools import lru_cache
 from pathlib import Path
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -33,6 +37,11 @@ class Vocabulary:
         self.ranks = ranks
         self.token = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
+        #: Yields (place of the last byte, (rank, length)) for each token of a text that has a letter of Latin-1 for each byte.
+        self.automaton = ahocorasick.Automaton()
+        for token, rank in ranks.items():
+            self.automaton.add_word(token.decode("latin1"), (rank, len(token)))
+        self.automaton.make_automaton()
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._fits: dict[tuple[int, int], bool] = {}
 
@@ -83,23 +92,35 @@ class Prefixes:
         self.append(data)
 
     def append(self, more: bytes) -> None:
-        v, data, last = self.vocabulary, self.data + more, self.last
-        get, token, fits, halves = v.ranks.get, v.token, v.fits, v.halves
-        for end in range(len(self.data) + 1, len(data) + 1):
-            for start in range(max(0, end - v.longest), end):
-                t = get(data[start:end])
-                if t is not None and halves(t) is not None and (not start or fits(last[start - 1], t)):
-                    last.append(t)
-                    break
-            else:
-                raise ValueError("a byte has no token")
-        self.data = data
+        self.data += more
+        self._fill([], 0)
 
     def replace(self, start: int, end: int, new: bytes) -> None:
-        """What stands before ``start`` stays as it is."""
-        tail = self.data[end:]
-        self.data, self.last = self.data[:start], self.last[:start]
-        self.append(new + tail)
+        """Puts ``new`` in the place of the bytes start .. end - 1. What stands before stays as it is, and what follows from where as many prefixes as the longest token has bytes end as before."""
+        old = self.last[end:]
+        self.data, self.last = self.data[:start] + new + self.data[end:], self.last[:start]
+        self._fill(old, start + len(new))
+
+    def _fill(self, old: list[int], tail: int) -> None:
+        """Finds the last tokens of the prefixes that have none; old: those of the bytes from ``tail`` on as they were before."""
+        v, last, done, same = self.vocabulary, self.last, len(self.last), 0
+        fits, halves = v.fits, v.halves
+        for at, (t, n) in v.automaton.iter(self.data.decode("latin1"), max(0, done - v.longest + 1)):
+            if at < done:
+                continue
+            if at > done:
+                break
+            before = at - n
+            if (before < 0 or fits(last[before], t)) and halves(t) is not None:
+                last.append(t)
+                done += 1
+                if old and at >= tail:
+                    same = same + 1 if old[at - tail] == t else 0
+                    if same >= v.longest:
+                        last.extend(old[at - tail + 1 :])
+                        return
+        if done < len(self.data):
+            raise ValueError("a byte has no token")
 
     def ids(self) -> list[int]:
         out, end = [], len(self.data)
@@ -121,30 +142,34 @@ class Coder:
         except KeyError:
             if len(self.known) > MEMORY:
                 self.known.clear()
-            for part in parts:
-                if part not in self.known:
-                    data = part.encode()
-                    t = self.vocabulary.ranks.get(data)
-                    self.known[part] = np.array([t] if t is not None else Prefixes(self.vocabulary, data).ids(), "<u4").tobytes()
+            for part in set(parts).difference(self.known):
+                data = part.encode()
+                t = self.vocabulary.ranks.get(data)
+                ids = [t] if t is not None else Prefixes(self.vocabulary, data).ids()
+                self.known[part] = struct.pack(f"<{len(ids)}I", *ids)
             return b"".join(map(self.known.__getitem__, parts))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocabulary.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+@lru_cache(maxsize=2)
+def coder_of(ranks: str, pattern: str) -> Coder:
+    """One coder for all tasks of a Python worker."""
+    return Coder(load_ranks(ranks), pattern)
+
+
 def encode(docs: DataFrame, ranks: str, pattern: str, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, ids (binary: little-endian unsigned 32-bit integers), decoded (binary).
 
     ranks: a vocabulary file. A null or empty text has no ids. No token is special. Repeated rows, null ids and other
-    columns change nothing.
+    columns change nothing; an empty table gives an empty result.
     """
-    coder: list[Coder] = []
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not coder:
-            coder.append(Coder(load_ranks(ranks), pattern))
-        ids = [coder[0].encode(x or "") for x in batch.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ids, pa.binary()), pa.array([coder[0].decode(x) for x in ids], pa.binary())], [id, "ids", "decoded"])
+        coder = coder_of(ranks, pattern)
+        ids = [coder.encode(x or "") for x in batch.column("text").to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ids, pa.binary()), pa.array([coder.decode(x) for x in ids], pa.binary())], [id, "ids", "decoded"])
 
     return map_steps(docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")), "text", make, f"`{id}` long, ids binary, decoded binary")
 
