@@ -10,13 +10,14 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.functions import levels
+from tidemark.functions import digest, levels
 from tidemark.functions.digest import TDigest
 from tidemark.operators import insight
-from tidemark.operators.rollup import cascade, from_samples
+from tidemark.operators.rollup import cascade, from_samples, validated
 from tidemark.plans.query import Query, nested, run_on_samples, total
 from tidemark.plans.schema import RollupSchema, SchemaError
 from tidemark.sources import synthetic
+from tidemark.sources.jsonl import from_json
 from tidemark.sources.store import RollupStore
 
 BASIC = RollupSchema.builder().dimension("host").measure("value", "f64", "sum", "count", "min", "max").build()
@@ -203,3 +204,89 @@ def test_synthetic_workload(spark):
     assert df.count() == 500 and df.where("latency_ms < 1 or error_count > request_count").count() == 0
     assert sorted(map(str, df.collect())) == sorted(map(str, synthetic.requests(spark, 500).collect()))
     assert synthetic.grid(spark, "2026-01-01", "2026-01-02", "6 hours", a=["x", "y"]).count() == 10
+
+
+def test_times_are_utc_instants_on_both_paths(spark):
+    texts = ["2026-03-15T10:00:00+02:00", "2026-03-15T08:59:59.999999Z", "2026-03-15t08:00:01z"]
+    df = spark.createDataFrame([(t, "a", 1.0) for t in texts], "ts string, host string, value double")
+    kinds = {"string": df, "timestamp": df.withColumn("ts", F.try_to_timestamp(F.upper("ts"))), "bigint": df.withColumn("ts", F.unix_millis(F.try_to_timestamp(F.upper("ts"))))}
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            for rows in kinds.values():
+                for made in (rows, validated(rows, BASIC)):
+                    assert values(from_samples(made, BASIC, "hour")) == [("2026-03-15 08:00:00", "a", 3.0, 3)]
+                found = run_on_samples(rows, BASIC, Query("hour", "2026-03-15T08:30:00Z", "2026-03-15T08:30:00Z", [{"measure": "value", "aggregate": "count", "as": "n"}]))
+                assert [r.n for r in found.collect()] == [3]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    for bad in ("2026-03-15T10:00:00", "yesterday", None):
+        with pytest.raises(Exception, match="invalid_timestamp"):
+            validated(spark.createDataFrame([(bad, "a", 1.0)], df.schema), BASIC).collect()
+    with pytest.raises(SchemaError, match="invalid_timestamp"):
+        validated(df.withColumn("ts", F.lit(True)), BASIC)
+
+
+def test_json_samples(spark):
+    schema = RollupSchema.builder().dimension("host").measure("f", "f64", "sum").measure("i", "i64", "sum").measure("u", "u64", "sum").build()
+
+    def read(*bodies):
+        return from_json(spark.createDataFrame([(b,) for b in bodies], "body string"), "body", schema).collect()
+
+    good = '{"ts": "2026-03-15T10:00:00+02:00", "dimensions": ["a"], "measures": [%s]}'
+    assert [tuple(r) for r in read(good % "1, -5, 18446744073709551615", good % "2.5, 0, 7")] == [(datetime(2026, 3, 15, 8), "a", 1.0, -5, 18446744073709551615), (datetime(2026, 3, 15, 8), "a", 2.5, 0, 7)]
+    for body, code in [(good % "1, 2", "measure_count_mismatch"), (good % "1, 2, -3", "measure_type_mismatch"), (good % "1, 2.5, 3", "measure_type_mismatch"), (good % '"1", 2, 3', "measure_type_mismatch"), (good % "null, 2, 3", "measure_type_mismatch"), ((good % "1, 2, 3").replace('["a"]', "[]"), "dimension_count_mismatch"), ((good % "1, 2, 3").replace("+02:00", ""), "invalid_timestamp"), ("no json", "invalid_timestamp")]:
+        with pytest.raises(Exception, match=code):
+            read(good % "1, 2, 3", body)
+
+
+def test_digests_equal_by_structure():
+    assert TDigest([1, 2, 3]) == TDigest([3, 2, 1]) != TDigest([1, 2, 4]) and TDigest() == TDigest() != TDigest([1.0])
+    assert TDigest([1], 50) != TDigest([1]) and TDigest([1]) != 1
+
+
+def test_large_and_small_groups_of_a_sketch(spark):
+    schema = RollupSchema.builder().dimension("host").measure("value", "f64", "count", "tdigest").build()
+    rows = [("2026-03-15T10:00:00", "small", i) for i in range(63)] + [("2026-03-15T10:00:00", "large", i) for i in range(5000)] + [("2026-03-15T10:00:00", "one", 4)]
+    state = F.col("value.tdigest")
+    read = {r.host: tuple(r)[1:] for r in from_samples(samples(spark, rows), schema, "hour").select("host", *[digest.quantile(state, q) for q in (0, 0.25, 0.5, 0.99, 1)], F.size("value.tdigest.means")).collect()}
+    assert read["small"][:5] == tuple(np.quantile(np.arange(63), q, method="hazen") for q in (0, 0.25, 0.5, 0.99, 1)) and read["small"][5] == 63
+    assert read["one"] == (4, 4, 4, 4, 4, 1)
+    assert 20 < read["large"][5] < 200 and all(abs(x - 5000 * q) < 50 for x, q in zip(read["large"], (0, 0.25, 0.5, 0.99, 1), strict=False))
+
+
+def test_sweep_writes_nothing_where_nothing_is_due(spark, tmp_path):
+    store = RollupStore(spark, str(tmp_path), BASIC, {"second": 3600})
+    assert [r.last_sweep for r in store.freshness().collect()] == [None] * 7
+    for k in range(20):
+        assert store.ingest(samples(spark, [(f"2026-03-15T10:00:{k:02d}", "a", 1)]), mark=("feed", k))
+    assert not store.ingest(samples(spark, [("2026-03-15T10:00:00", "a", 1)]), mark=("feed", 7))
+    assert {r.level: r.stale for r in store.freshness().collect()} == {x: x != "second" for x in levels.LEVELS}
+    store.sweep()
+    live = dict(store.state["live"])
+    assert len(live["second"]) == 1 and store.state["cutoff"] == {"second": "2026-03-15T09:00:20"} and store.state["keys"] == []
+    store.sweep()
+    assert store.state["live"] == live and not any(r.stale for r in store.freshness().collect())
+    assert len(list((tmp_path / "_manifest").glob("0*"))) <= 9
+    again = RollupStore(spark, str(tmp_path), BASIC)
+    assert values(again.buckets("day")) == [("2026-03-15 00:00:00", "a", 20.0, 20)]
+
+
+def test_ticks_lie_within_the_range(spark):
+    df = samples(spark, [("2026-03-15T10:10:00", "a", 1), ("2026-03-15T11:10:00", "a", 2)])
+    start, end = datetime(2026, 3, 15, 10, 30), datetime(2026, 3, 15, 13)
+    rows = run_on_samples(df, BASIC, Query("hour", start, end, [{"measure": "value", "aggregate": "sum", "as": "s"}], group_by=["host"]))
+    out = insight.dense(rows, "hour", start, end, ["host"], "s").orderBy("bucket_start").collect()
+    assert [(r.label, r.bucket_start.hour, r.value) for r in out] == [("a", 11, 2.0), ("a", 12, None)]
+
+
+def test_breakdowns_leave_pinned_dimensions_out(spark):
+    schema = RollupSchema.builder().dimension("host").dimension("zone").measure("value", "f64", "sum").build()
+    df = samples(spark, [("2026-03-15T10:00:00", "a", 1), ("2026-03-15T10:00:00", "b", 3)]).withColumn("zone", F.lit("z"))
+    states, item = from_samples(df, schema, "hour"), {"measure": "value", "aggregate": "sum"}
+    span = (datetime(2026, 3, 15), datetime(2026, 3, 16))
+    assert [tuple(r) for r in insight.breakdowns(states, schema, "hour", *span, item).collect()] == [("host", "b", 3.0, 75.0), ("host", "a", 1.0, 25.0), ("zone", "z", 4.0, 100.0)]
+    assert [tuple(r) for r in insight.breakdowns(states, schema, "hour", *span, item, {"host": ["a"]}).collect()] == [("zone", "z", 1.0, 100.0)]
+    with pytest.raises(SchemaError, match="pinned"):
+        insight.breakdowns(states, schema, "hour", *span, item, {"host": ["a"], "zone": ["z"]})

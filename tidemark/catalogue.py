@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.levels import LEVELS, bucket, bucket_end
+from .custom import Variance
 from .operators import insight
-from .operators.aggregates import Variance
 from .operators.rollup import cascade, from_samples, merge_states, roll_edge
-from .plans.query import Query, grouped, reads, run_on_samples, run_query, total
+from .plans.query import Query, grouped, reads, run_on_samples, run_query, total, within
 from .plans.schema import RollupSchema
+from .sources.jsonl import from_json
 from .sources.store import RollupStore
 
 Made = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +79,11 @@ def _series(where: str = "true", level: str = "hour", keys: str = ", event_type"
     return f"select date_trunc('{level}', ts) as bucket_start{keys}, {SQL_ALL} from events where date_trunc('{level}', ts) < timestamp '{e}' and date_trunc('{level}', ts) + interval 1 {level} > timestamp '{s}' and {where} group by all"
 
 
+def _hours(spark: SparkSession, sf_dir: str, start, end) -> DataFrame:
+    """Hourly states of a range, whose bounds reach the scan."""
+    return from_samples(within(table(spark, sf_dir, "events"), PLAIN, "hour", start, end), PLAIN, "hour")
+
+
 @query("select distinct date_trunc('month', ts) as bucket_start, date_trunc('month', ts) + interval 1 month as bucket_end from events")
 def bucket_bounds(spark, sf_dir):
     start = table(spark, sf_dir, "events").select(bucket("ts", "month").alias("bucket_start")).distinct()
@@ -86,22 +92,23 @@ def bucket_bounds(spark, sf_dir):
 
 @query(f"select coalesce(round(sum(value), 4), 0) as sum_value, count(*) as n, min(value) as min_value, max(value) as max_value from events where date_trunc('hour', ts) >= timestamp '{S}' and date_trunc('hour', ts) < timestamp '{E}'")
 def range_total(spark, sf_dir):
-    return rounded(total(from_samples(table(spark, sf_dir, "events"), PLAIN, "hour"), PLAIN, "hour", S, E, ALL))
+    return rounded(total(_hours(spark, sf_dir, S, E), PLAIN, "hour", S, E, ALL))
 
 
 @query("select cast(0 as double) as sum_value, cast(0 as bigint) as n, cast(null as double) as min_value, cast(null as double) as max_value")
 def range_total_empty(spark, sf_dir):
-    return rounded(total(from_samples(table(spark, sf_dir, "events"), PLAIN, "hour"), PLAIN, "hour", datetime(1999, 1, 1), datetime(1999, 1, 2), ALL))
+    s, e = datetime(1999, 1, 1), datetime(1999, 1, 2)
+    return rounded(total(_hours(spark, sf_dir, s, e), PLAIN, "hour", s, e, ALL))
 
 
 @query(f"select event_type, {SQL_ALL} from events where date_trunc('hour', ts) >= timestamp '{S}' and date_trunc('hour', ts) < timestamp '{E}' group by 1")
 def range_grouped(spark, sf_dir):
-    return rounded(grouped(from_samples(table(spark, sf_dir, "events"), PLAIN, "hour"), PLAIN, "hour", S, E, ALL, ["event_type"]))
+    return rounded(grouped(_hours(spark, sf_dir, S, E), PLAIN, "hour", S, E, ALL, ["event_type"]))
 
 
 @query(f"select {SQL_ALL} from events where date_trunc('hour', ts) >= timestamp '{S}' and date_trunc('hour', ts) < timestamp '{E}'")
 def range_grouped_empty_mask(spark, sf_dir):
-    return rounded(grouped(from_samples(table(spark, sf_dir, "events"), PLAIN, "hour"), PLAIN, "hour", S, E, ALL, []))
+    return rounded(grouped(_hours(spark, sf_dir, S, E), PLAIN, "hour", S, E, ALL, []))
 
 
 @query(_series(s="2024-01-05 10:20:00", e="2024-01-07 03:40:00"))
@@ -149,10 +156,11 @@ def multi_measure_select(spark, sf_dir):
     return rounded(run_on_samples(table(spark, sf_dir, "lineitem"), LINES, q, ordered=False), 2)
 
 
-@query("select date_trunc('hour', ts) as bucket_start, event_type, round(sum(value) / count(*), 4) as mean_value from events group by all")
+@query("select date_trunc('hour', ts) as bucket_start, event_type, round(sum(value), 4) / count(*) as mean_value from events group by all")
 def mean_derived(spark, sf_dir):
+    """The sum is rounded, which takes away what the order of adding did to it; the mean isn't, since a tie would fall either way."""
     states = cascade(table(spark, sf_dir, "events"), PLAIN, "hour")
-    return rounded(states.select("bucket_start", "event_type", insight.ratio(F.col("value.sum"), F.col("value.count")).alias("mean_value")))
+    return states.select("bucket_start", "event_type", insight.ratio(F.round("value.sum", 4), F.col("value.count")).alias("mean_value"))
 
 
 _VARIANCE = "select date_trunc('day', ts) as bucket_start, event_type, round(var_pop(value), 7) as var_pop, round(var_samp(value), 7) as var_samp, round(stddev_samp(value), 7) as std_samp from events group by all"
@@ -192,9 +200,20 @@ def quantile_extremes(spark, sf_dir):
     return from_samples(table(spark, sf_dir, "events"), SKETCHED, "month").select("bucket_start", "event_type", *reads(SKETCHED, ends))
 
 
-@query()
+#: A sketched quantile of a large group must lie between the values whose ranks are this far, as a share of the group, below and above.
+RANK_ERROR = 0.02
+
+
+@query("select date_trunc('month', ts) as bucket_start, event_type, count(*) as n, true as q50_fits, true as q95_fits, true as q99_fits from events group by all")
 def quantile_large(spark, sf_dir):
-    return rounded(from_samples(table(spark, sf_dir, "events"), SKETCHED, "month").select("bucket_start", "event_type", *reads(SKETCHED, QS)))
+    """Whether the quantiles of large groups, through sketches that are merged twice, are within the rank error of the values themselves."""
+    found = from_samples(table(spark, sf_dir, "events"), SKETCHED, "month").select("bucket_start", "event_type", *reads(SKETCHED, QS))
+    rows = table(spark, sf_dir, "events").select(bucket("ts", "month").alias("bucket_start"), "event_type", "value").join(found, ["bucket_start", "event_type"])
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    below = [n(F.col("value") < F.col(s["as"])).alias(f"lt_{s['as']}") for s in QS] + [n(F.col("value") <= F.col(s["as"])).alias(f"le_{s['as']}") for s in QS]
+    ranks = rows.groupBy("bucket_start", "event_type").agg(F.count("*").alias("n"), *below)
+    fits = [((F.col(f"lt_{s['as']}") <= (s["quantile"] + RANK_ERROR) * F.col("n")) & (F.col(f"le_{s['as']}") >= (s["quantile"] - RANK_ERROR) * F.col("n"))).alias(f"{s['as']}_fits") for s in QS]
+    return ranks.select("bucket_start", "event_type", "n", *fits)
 
 
 @query(f"select 'week' as level, date_trunc('week', ts) as bucket_start, event_type, {SQL_ALL} from events group by all union all select 'month', date_trunc('month', ts), event_type, {SQL_ALL} from events group by all")
@@ -209,11 +228,20 @@ def _tagged(day: DataFrame, level: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
+    import atexit
+    import shutil
     import tempfile
     import uuid
 
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{shared.rstrip('/')}/store-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="tidemark-store-")
+    conf = spark.sparkContext.getConf()
+    shared = conf.get("spark.checkpoint.dir")
+    if not shared and not conf.get("spark.master", "local").startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if shared:
+        return f"{shared.rstrip('/')}/store-{uuid.uuid4().hex}"
+    made = tempfile.mkdtemp(prefix="tidemark-store-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return made
 
 
 def _cut(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -281,7 +309,7 @@ def breakdown_top6(spark, sf_dir):
 
 @query(f"with w as (select event_type, sum(case when date_trunc('hour', ts) >= timestamp '{S}' then value end) as c, sum(case when date_trunc('hour', ts) < timestamp '{S}' then value end) as p from events where date_trunc('hour', ts) >= timestamp '2023-12-29' and date_trunc('hour', ts) < timestamp '{E}' group by 1) select event_type, round(c, 4) as sum_current, round(p, 4) as sum_prior, round((c - p) / p * 100, 2) as delta_pct from w")
 def period_delta(spark, sf_dir):
-    states = from_samples(table(spark, sf_dir, "events").where(F.col("ts") < F.lit(E)), PLAIN, "hour").where(F.col("bucket_start") >= F.lit(S - (E - S)))
+    states = _hours(spark, sf_dir, S - (E - S), E)
     now = F.col("bucket_start") >= F.lit(S)
     both = states.groupBy("event_type").agg(F.sum(F.when(now, F.col("value.sum"))).alias("c"), F.sum(F.when(~now, F.col("value.sum"))).alias("p"))
     return both.select("event_type", F.round("c", 4).alias("sum_current"), F.round("p", 4).alias("sum_prior"), F.round(insight.delta_percent(F.col("c"), F.col("p")), 2).alias("delta_pct"))
@@ -303,7 +331,7 @@ def inspect_full_key(spark, sf_dir):
     return rounded(insight.inspect(states, ORDERS, "month", datetime(1990, 1, 1), datetime(2010, 1, 1), "o_totalprice"))
 
 
-@query()
+@query("select 'latency_ms' as distributions, 'error_count' as errors, 'request_count' as volume")
 def signals_schema(spark, sf_dir):
     schema = RollupSchema.builder().dimension("service").measure("request_count", "u64", "sum", "count").measure("latency_ms", "f64", "sum", "count", "tdigest").measure("error_count", "u64", "sum").build()
     found = insight.signals(schema)
@@ -337,6 +365,51 @@ def merge_disjoint(spark, sf_dir):
     return rounded(merge_states(both, PLAIN, ["bucket_start"]).select("bucket_start", *reads(PLAIN, ALL[:2])))
 
 
+@query(f"select date_trunc('hour', ts) as bucket_start, event_type, {SQL_ALL} from events group by all")
+def json_ingest(spark, sf_dir):
+    """Samples as JSON text whose timestamps have an offset of two hours."""
+    local = F.concat(F.date_format(F.col("ts") + F.expr("interval 2 hours"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+02:00"))
+    body = F.to_json(F.struct(local.alias("ts"), F.array("event_type").alias("dimensions"), F.array("value").alias("measures")))
+    return _flat(from_samples(from_json(table(spark, sf_dir, "events").select(body.alias("body")), "body", PLAIN), PLAIN, "hour"))
+
+
+@query(f"select date_trunc('minute', ts) as bucket_start, event_type, {SQL_ALL} from events group by all")
+def millis_ingest(spark, sf_dir):
+    """Samples whose time is a number of milliseconds since 1970."""
+    millis = F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
+    return _flat(from_samples(table(spark, sf_dir, "events").withColumn("ts", millis), PLAIN, "minute"))
+
+
+@query(
+    f"with r as (select date_trunc('hour', ts) as bucket_start, value, row_number() over w - 1 as i, count(*) over (partition by date_trunc('hour', ts)) as n from events where event_type = 'purchase' and date_trunc('hour', ts) >= timestamp '2024-01-08' and date_trunc('hour', ts) < timestamp '{E}' window w as (partition by date_trunc('hour', ts) order by value)), "
+    f"s as (select case when bucket_start >= timestamp '2024-01-10' then 'current' else 'prior' end as period, bucket_start, round(sum(value), 4) / count(*) as mean, {_hazen(0.5)} as p50, {_hazen(0.95)} as p95, {_hazen(0.99)} as p99 from r group by 1, 2) select *, last_value(p95) over (partition by period order by bucket_start rows between unbounded preceding and unbounded following) as latest_p95 from s"
+)
+def distribution_panel(spark, sf_dir):
+    panel = insight.distribution(table(spark, sf_dir, "events"), SKETCHED, "value", "hour", datetime(2024, 1, 10), E, {"event_type": ["purchase"]})
+    return panel.select("period", "bucket_start", "mean", *[F.round(c, 4).alias(c) for c in ("p50", "p95", "p99", "latest_p95")])
+
+
+_SHARE = "select '{0}' as dimension, {0} as member, v as value, round(v * 100 / sum(v) over (), 4) as pct from (select {0}, round(sum(o_totalprice), 2) as v from orders group by 1) qualify v > 0 order by v desc, member limit 6"
+
+
+@query(f"({_SHARE.format('o_orderstatus')}) union all ({_SHARE.format('o_orderpriority')})")
+def breakdown_all(spark, sf_dir):
+    states = from_samples(table(spark, sf_dir, "orders"), ORDERS, "year")
+    found = insight.breakdowns(states, ORDERS, "year", datetime(1990, 1, 1), datetime(2010, 1, 1), {"measure": "o_totalprice", "aggregate": "sum"})
+    return found.select("dimension", "member", F.round("value", 2).alias("value"), F.round("pct", 4).alias("pct"))
+
+
+@query(" union all ".join(f"select '{x}' as level, max(date_trunc('{x}', ts)) as newest, {'false' if x == 'second' else 'true'} as stale, true as swept from events where {'true' if x == 'second' else 'event_id % 5 <> 0'}" for x in LEVELS))
+def freshness(spark, sf_dir):
+    """After a sweep and a late batch, coarse levels are as they were at the sweep."""
+    store = RollupStore(spark, _folder(spark), PLAIN)
+    early, late = _cut(spark, sf_dir)
+    store.ingest(early)
+    store.sweep()
+    store.ingest(late)
+    return store.freshness().select("level", "newest", "stale", F.col("last_sweep").isNotNull().alias("swept"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     states = from_samples(table(spark, sf_dir, "events"), PLAIN, "hour")
     return rounded(run_query(states, PLAIN, Query("hour", datetime(2024, 1, 1), datetime(2024, 2, 1), ALL, group_by=["event_type"])))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 COMPRESSION = 100
+#: Values that COMPRESSION leaves apart in any group.
+APART = 63
 STATE = T.StructType().add("count", T.LongType()).add("min", T.DoubleType()).add("max", T.DoubleType()).add("means", T.ArrayType(T.DoubleType())).add("weights", T.ArrayType(T.LongType()))
 
 
@@ -55,6 +57,15 @@ class TDigest:
         out.means, out.weights = compress(np.concatenate([m for m, _ in sides]), np.concatenate([w for _, w in sides]), out.compression)
         return out
 
+    def __eq__(self, other: object) -> bool:
+        """Structural: the same compression, count, bounds and centroids."""
+        if not isinstance(other, TDigest):
+            return NotImplemented
+        same = (self.compression, self.count, self.min, self.max) == (other.compression, other.count, other.min, other.max)
+        return same and np.array_equal(self.means, other.means) and np.array_equal(self.weights, other.weights)
+
+    __hash__ = None  # it can be changed in place
+
     def quantile(self, q: float) -> float:
         return quantile_of(self.count, self.min, self.max, self.means, self.weights, q)
 
@@ -90,16 +101,29 @@ def _frame(digests: list[TDigest]) -> pd.DataFrame:
     return pd.DataFrame({"count": [d.count for d in digests], "min": [d.min if d.count else None for d in digests], "max": [d.max if d.count else None for d in digests], "means": [d.means for d in digests], "weights": [d.weights.astype(np.int64) for d in digests]})
 
 
+def of_values(values: Column) -> Column:
+    """The state of an array of values: in the JVM where they stay apart, else by ``_of_values``, which then sees only the large ones."""
+    apart = F.size(values) <= APART
+    own = F.array_sort(values)
+    small = F.struct(F.size(values).cast("bigint").alias("count"), F.array_min(values).alias("min"), F.array_max(values).alias("max"), own.alias("means"), F.transform(own, lambda _: F.lit(1).cast("bigint")).alias("weights"))
+    return F.when(apart, small).otherwise(_of_values(F.when(~apart, values)))
+
+
 def quantile(state: Column, q: float) -> Column:
-    """JVM-side: the value at clamped q of a state; NaN for an empty or null one."""
-    w = state["weights"]
-    middles = F.transform(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.aggregate(F.slice(w, 1, i), F.lit(0.0), lambda a, x: a + x) + F.element_at(w, i + 1) / 2)
-    n = state["count"].cast("double")
-    xs = F.concat(F.array(F.lit(0.0)), middles, F.array(n))
-    ys = F.concat(F.array(state["min"]), state["means"], F.array(state["max"]))
-    target = F.lit(float(q)) * n
-    at = F.size(F.filter(xs, lambda x: x <= target))  # the last point at or before the target
-    x0, x1, y0, y1 = F.element_at(xs, at), F.element_at(xs, at + 1), F.element_at(ys, at), F.element_at(ys, at + 1)
-    inside = y0 + (y1 - y0) * F.when(x1 == x0, 0.0).otherwise((target - x0) / (x1 - x0))
-    value = F.when(F.lit(q <= 0), state["min"]).when(F.lit(q >= 1), state["max"]).otherwise(inside)
+    """JVM-side: the value at clamped q of a state, in one pass over its centroids; NaN for an empty or null one."""
+    if q <= 0 or q >= 1:
+        value = state["min"] if q <= 0 else state["max"]
+    else:
+        target = F.lit(float(q)) * state["count"].cast("double")
+
+        def between(at: Column, x: Column, y: Column) -> Column:
+            return at["y"] + (y - at["y"]) * F.when(x <= at["x"], F.lit(0.0)).otherwise((target - at["x"]) / (x - at["x"]))
+
+        def step(at: Column, centroid: Column) -> Column:
+            x = at["seen"] + centroid["weights"] / 2.0
+            found = F.when(at["found"].isNull() & (target < x), between(at, x, centroid["means"])).otherwise(at["found"])
+            return F.struct((at["seen"] + centroid["weights"]).alias("seen"), x.alias("x"), centroid["means"].alias("y"), found.alias("found"))
+
+        start = F.struct(F.lit(0.0).alias("seen"), F.lit(0.0).alias("x"), state["min"].alias("y"), F.lit(None).cast("double").alias("found"))
+        value = F.aggregate(F.arrays_zip(state["means"].alias("means"), state["weights"].alias("weights")), start, step, lambda at: F.coalesce(at["found"], between(at, state["count"].cast("double"), state["max"])))
     return F.when(F.coalesce(state["count"], F.lit(0)) == 0, F.lit(float("nan"))).otherwise(value)

@@ -43,6 +43,30 @@ def bucket(ts: Column | str, level: str) -> Column:
 parent_start = bucket
 
 
+def literal(at: datetime) -> Column:
+    """A naive UTC datetime as a constant, whatever the session's time zone."""
+    return F.lit(at.isoformat(sep=" ")).cast("timestamp_ntz")
+
+_ZONED = r"^\d{4}-\d\d-\d\d[Tt ]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]\d\d:\d\d)$"
+
+
+def utc(column: Column | str, kind: str) -> Column:
+    """The UTC wall clock of an instant, whatever the session's time zone; null where there is none.
+
+    kind: the column's type. Text must be RFC 3339 with an offset, integers are milliseconds since 1970, and a
+    timestamp without a zone, or a date, is UTC already.
+    """
+    col = F.col(column) if isinstance(column, str) else column
+    if kind in ("timestamp_ntz", "date"):
+        return col.cast("timestamp_ntz")
+    if kind in ("bigint", "int"):
+        seconds = (col.cast("decimal(20,0)") / 1000).cast("decimal(18,6)")
+    else:
+        instant = F.when(col.rlike(_ZONED), F.try_to_timestamp(F.upper(col))) if kind == "string" else col
+        seconds = (F.unix_micros(instant.cast("timestamp")).cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)")
+    return literal(datetime(1970, 1, 1)) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+
+
 def bucket_end(start: Column | str, level: str) -> Column:
     col = F.col(start) if isinstance(start, str) else start
     return col + F.expr(f"interval 1 {parse_level(level)}")
@@ -66,7 +90,7 @@ def ceil(at: datetime, level: str) -> datetime:
 
 def overlaps(start: datetime, end: datetime, level: str, column: str = "bucket_start") -> Column:
     """Buckets with bucket_start < end and bucket_end > start, in a form that reaches the scan."""
-    return (F.col(column) >= F.lit(floor(start, level)).cast("timestamp_ntz")) & (F.col(column) < F.lit(end).cast("timestamp_ntz"))
+    return (F.col(column) >= literal(floor(start, level))) & (F.col(column) < literal(end))
 
 
 def preset_range(preset: str, now: datetime) -> tuple[datetime, datetime, datetime, str]:

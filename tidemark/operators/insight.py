@@ -8,9 +8,9 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.levels import MAX_BUCKETS, estimated_buckets, floor
-from ..plans.query import Query, run_query
-from ..plans.schema import RollupSchema
+from ..functions.levels import MAX_BUCKETS, estimated_buckets, floor, literal
+from ..plans.query import Query, grouped, instant, kept, run_on_samples, run_query
+from ..plans.schema import RollupSchema, SchemaError
 
 
 def label(group_by: list[str]) -> Column:
@@ -18,18 +18,18 @@ def label(group_by: list[str]) -> Column:
 
 
 def dense(result: DataFrame, level: str, start: datetime, end: datetime, group_by: list[str], value: str) -> DataFrame:
-    """(label, bucket_start, value) for every tick from the range's first bucket on and every label; null where there is none.
+    """(label, bucket_start, value) for every tick within the range and every label; null where there is none.
 
-    Without any data there is one series "(all)" of nulls. Ticks follow the calendar. Their number is checked, so the grid
+    A first bucket that begins before ``start`` is no tick, nor is one that begins at ``end`` or later. Without any data there is one series "(all)" of nulls. Ticks follow the calendar. Their number is checked, so the grid
     may be broadcast; labels are as many as the result has.
     """
     if estimated_buckets(start, end, level) > MAX_BUCKETS:
         raise ValueError(f"over {MAX_BUCKETS} buckets")
     rows = result.select(label(group_by).alias("label"), "bucket_start", F.col(value).alias("value"))
     spark = result.sparkSession
-    low = F.lit(floor(start, level)).cast("timestamp_ntz")
-    ticks = spark.range(1).select(F.explode(F.sequence(low, F.lit(end).cast("timestamp_ntz"), F.expr(f"interval 1 {level}"))).alias("bucket_start"))
-    ticks = ticks.where((F.col("bucket_start") >= F.lit(start).cast("timestamp_ntz")) & (F.col("bucket_start") < F.lit(end).cast("timestamp_ntz")))
+    low = literal(floor(start, level))
+    ticks = spark.range(1).select(F.explode(F.sequence(low, literal(end), F.expr(f"interval 1 {level}"))).alias("bucket_start"))
+    ticks = ticks.where((F.col("bucket_start") >= literal(start)) & (F.col("bucket_start") < literal(end)))
     found = rows.select("label").distinct()
     none = spark.range(1).select(F.lit("(all)").alias("label")).join(found.limit(1).select(F.lit(1).alias("some")), F.lit(True), "left").where("some is null").select("label")
     grid = found.union(none).crossJoin(F.broadcast(ticks))
@@ -54,8 +54,43 @@ def series_total(series: DataFrame) -> DataFrame:
 
 def breakdown(result: DataFrame, dimension: str, value: str, n: int = 6) -> DataFrame:
     """The n largest positive values with their share of the whole, ties by name."""
-    share = F.col(value) * 100 / F.sum(value).over(Window.partitionBy(F.lit(1)))
-    return result.select(dimension, value, share.alias("pct")).where(F.col(value) > 0).orderBy(F.desc(value), dimension).limit(n)
+    whole = F.broadcast(result.agg(F.sum(value).alias("__whole")))  # one row
+    share = F.col(value) * 100 / F.col("__whole")
+    return result.join(whole).select(dimension, value, share.alias("pct")).where(F.col(value) > 0).orderBy(F.desc(value), dimension).limit(n)
+
+
+def breakdowns(states: DataFrame, schema: RollupSchema, level: str, start, end, item: dict, pins: dict[str, list[str]] | None = None, n: int = 6) -> DataFrame:
+    """(dimension, member, value, pct): the ``breakdown`` of a selected value over every dimension that isn't pinned to members."""
+    out, item = None, {**item, "as": "value"}
+    rows = kept(states, pins or {})
+    for d in schema.dimensions:
+        if d not in (pins or {}):
+            one = breakdown(grouped(rows, schema, level, start, end, [item], [d]), d, "value", n)
+            one = one.select(F.lit(d).alias("dimension"), F.col(d).alias("member"), "value", "pct")
+            out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise SchemaError("unknown_dimension", "every dimension is pinned", "filter")
+    return out
+
+
+def distribution(samples: DataFrame, schema: RollupSchema, measure: str, level: str, start, end, pins: dict[str, list[str]] | None = None) -> DataFrame:
+    """The panel of a sketched measure for a range and for the one of equal length before it, from one read of the samples.
+
+    (period, bucket_start, mean, p50, p95, p99, latest_p95): period is current or prior, by the bucket's start; mean is null
+    unless sum and count are kept; latest_p95 is that of the period's last bucket, on every row of it.
+    """
+    start, end = instant(start), instant(end)
+    if estimated_buckets(start, end, level) > MAX_BUCKETS:
+        raise ValueError(f"over {MAX_BUCKETS} buckets")
+    has = schema.measure(measure)
+    select = [{"measure": measure, "aggregate": "tdigest", "quantile": q, "as": f"p{int(q * 100)}"} for q in (0.5, 0.95, 0.99)]
+    if has.aggregate("sum") and has.aggregate("count"):
+        select += [{"measure": measure, "aggregate": a, "as": f"_{a}"} for a in ("sum", "count")]
+    found = run_on_samples(samples, schema, Query(level, start - (end - start), end, select, pins or {}), ordered=False)
+    period = F.when(F.col("bucket_start") >= literal(start), "current").otherwise("prior")
+    rows = found.select(period.alias("period"), "bucket_start", (ratio("_sum", "_count") if "_sum" in found.columns else F.lit(None).cast("double")).alias("mean"), "p50", "p95", "p99")
+    last = Window.partitionBy("period").orderBy("bucket_start").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # MAX_BUCKETS rows at most
+    return rows.withColumn("latest_p95", F.last("p95").over(last))
 
 
 def delta_percent(current: Column, prior: Column) -> Column:

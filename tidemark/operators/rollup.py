@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.levels import LEVELS, bucket, path_to
+from ..functions.levels import LEVELS, bucket, path_to, utc
 from ..plans.schema import TYPES, RollupSchema, SchemaError
 from .aggregates import MergeableAggregate
 
 #: Sketches of coarser levels than this one are merged from it, so that no group gathers an unbounded list.
 SKETCH_LEVEL = "hour"
+#: Types of a time column, see ``utc``.
+TIMES = ("timestamp_ntz", "timestamp", "date", "string", "bigint", "int")
 
 
 def check_samples(samples: DataFrame, schema: RollupSchema) -> None:
     """Columns and types, before any row is read."""
     kinds = dict(samples.dtypes)
+    if kinds.get(schema.time, "timestamp") not in TIMES:
+        raise SchemaError("invalid_timestamp", f"{schema.time} is {kinds[schema.time]}", schema.time)
     for d in (schema.time, *schema.dimensions):
         if d not in kinds:
             raise SchemaError("dimension_count_mismatch", f"no column {d!r}", d)
@@ -30,8 +34,9 @@ def check_samples(samples: DataFrame, schema: RollupSchema) -> None:
 def validated(samples: DataFrame, schema: RollupSchema) -> DataFrame:
     """``samples`` in the schema's types; a row with a null, a negative u64 or a NaN fails the query, so a batch goes in whole or not at all."""
     check_samples(samples, schema)
-    columns = [_checked(F.col(schema.time), F.col(schema.time).isNotNull(), "invalid_timestamp").cast("timestamp_ntz").alias(schema.time)]
-    columns += [_checked(F.col(d), F.col(d).isNotNull(), "null dimension").cast("string").alias(d) for d in schema.dimensions]
+    at = utc(schema.time, dict(samples.dtypes)[schema.time])
+    columns = [checked(at, at.isNotNull(), "invalid_timestamp").alias(schema.time)]
+    columns += [checked(F.col(d), F.col(d).isNotNull(), "null dimension").cast("string").alias(d) for d in schema.dimensions]
     for m in schema.measures:
         c = F.col(m.source).cast(TYPES[m.type])
         fine = c.isNotNull()
@@ -39,11 +44,11 @@ def validated(samples: DataFrame, schema: RollupSchema) -> DataFrame:
             fine &= c >= 0
         if m.type == "f64" and any(a.name == "tdigest" for a in m.aggregates):
             fine &= ~F.isnan(c)
-        columns.append(_checked(c, fine, f"measure_type_mismatch: {m.name}").alias(m.name))
+        columns.append(checked(c, fine, f"measure_type_mismatch: {m.name}").alias(m.name))
     return samples.select(*columns)
 
 
-def _checked(value: Column, fine: Column, message: str) -> Column:
+def checked(value: Column, fine: Column, message: str) -> Column:
     return F.when(fine, value).otherwise(F.raise_error(F.lit(message)))
 
 
@@ -74,7 +79,14 @@ def roll_edge(states: DataFrame, schema: RollupSchema, parent: str) -> DataFrame
 
 
 def from_samples(samples: DataFrame, schema: RollupSchema, level: str) -> DataFrame:
-    """States per (bucket, full key) straight from samples."""
+    """States per (bucket, full key) straight from samples.
+
+    Times are read as in ``validated``, but rows are trusted: a null or bad time or a null dimension is a group of its own,
+    and a null measure counts as a sample. Use ``validated`` first where rows may be bad.
+    """
+    kind = dict(samples.dtypes)[schema.time]
+    if kind not in ("timestamp_ntz", "date"):
+        samples = samples.withColumn(schema.time, utc(schema.time, kind))
     sketched = any(type(a).seal is not MergeableAggregate.seal for m in schema.measures for a in m.aggregates)
     first = SKETCH_LEVEL if sketched and LEVELS.index(level) > LEVELS.index(SKETCH_LEVEL) else level
     df = samples.select(bucket(schema.time, first).alias("bucket_start"), *schema.dimensions, *[F.col(f"`{m.source}`").cast(TYPES[m.type]).alias(m.name) for m in schema.measures])

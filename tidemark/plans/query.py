@@ -8,7 +8,7 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.levels import LEVELS, bucket, ceil, floor, overlaps
+from ..functions.levels import LEVELS, bucket, ceil, floor, literal, overlaps, utc
 from ..operators.rollup import from_samples, merge_states
 from .schema import RollupSchema, SchemaError
 
@@ -100,9 +100,17 @@ def run_query(states: DataFrame, schema: RollupSchema, query: Query, ordered: bo
 def run_on_samples(samples: DataFrame, schema: RollupSchema, query: Query, ordered: bool = True) -> DataFrame:
     """The same from raw samples, read only where a bucket of the range can have them."""
     query.validate(schema)
-    low, high = floor(query.start, query.level), ceil(query.end, query.level)
-    within = samples.where((F.col(schema.time) >= F.lit(low)) & (F.col(schema.time) < F.lit(high)))
-    return run_query(from_samples(kept(within, query.filter), schema, query.level), schema, query, ordered)
+    rows = within(samples, schema, query.level, query.start, query.end)
+    return run_query(from_samples(kept(rows, query.filter), schema, query.level), schema, query, ordered)
+
+
+def within(samples: DataFrame, schema: RollupSchema, level: str, start, end) -> DataFrame:
+    """The samples of the buckets that overlap a range, by a test on the raw time that reaches the scan. Rows are trusted, see ``from_samples``."""
+    start, end = instant(start), instant(end)
+    kind = dict(samples.dtypes)[schema.time]
+    at = F.col(schema.time) if kind in ("timestamp_ntz", "date") else utc(schema.time, kind)
+    low, high = (literal(x) for x in (floor(start, level), ceil(end, level)))
+    return samples.where((at >= low) & (at < high))
 
 
 def total(states: DataFrame, schema: RollupSchema, level: str, start, end, select: list[dict]) -> DataFrame:
@@ -135,4 +143,4 @@ def with_bounds(states: DataFrame, level: str) -> DataFrame:
     return states.withColumn("level", F.lit(level)).withColumn("bucket_end", bucket_end("bucket_start", level))
 
 
-__all__ = ["Query", "bucket", "column_name", "grouped", "instant", "kept", "nested", "reads", "run_on_samples", "run_query", "total", "with_bounds"]
+__all__ = ["Query", "bucket", "column_name", "grouped", "instant", "kept", "nested", "reads", "run_on_samples", "run_query", "total", "with_bounds", "within"]

@@ -2,24 +2,30 @@
 
 A batch of samples adds second states; a rollup adds, along each edge, the merge of the batches that the edge has not yet
 consumed. No parent is rebuilt, so late data needs no special case and pruning children never changes a parent. Batches
-are directories, and a small manifest, replaced as a whole, says which are live. A batch key ingested again is a no-op.
+are directories, and a small manifest, replaced as a whole, says which are live. A batch key ingested again is a no-op; a feed
+whose batches are numbered keeps one number instead of its keys, so the manifest stays small. What a sweep retires is deleted
+at the next change after it, so a reader of the version before still finds its files.
 """
 
 from __future__ import annotations
 
 import json
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.levels import EDGES, LEVELS, bucket_end
+from ..functions.levels import EDGES, LEVELS, bucket_end, literal
 from ..operators.rollup import from_samples, merge_states, roll_edge, validated
 from ..plans.query import Query, grouped, run_query, total
 from ..plans.schema import RollupSchema, SchemaError, validate_retention
 
 
+#: Versions of the manifest that are kept, and consumed batches of a level from which a sweep makes one of them.
+VERSIONS, BATCHES = 8, 16
+
+
 class RollupStore:
     def __init__(self, spark: SparkSession, path: str, schema: RollupSchema, retention: dict[str, float] | None = None, create: bool = False):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
@@ -27,7 +33,7 @@ class RollupStore:
         versions = self._versions()
         if create and versions:
             raise SchemaError("schema_already_exists", path)
-        self.state = json.loads(self._read_text(max(versions))) if versions else {"version": 0, "next": 0, "live": {x: [] for x in LEVELS}, "pending": {f"{c}>{p}": [] for c, p in EDGES}, "keys": [], "cutoff": {}, "schema": schema.describe()}
+        self.state = json.loads(self._read_text(max(versions))) if versions else {"version": 0, "next": 0, "live": {x: [] for x in LEVELS}, "pending": {f"{c}>{p}": [] for c, p in EDGES}, "keys": [], "marks": {}, "cutoff": {}, "retired": [], "swept": None, "schema": schema.describe()}
         if not versions:
             self._commit()
         elif self.state["schema"] != schema.describe():
@@ -60,6 +66,16 @@ class RollupStore:
         out = fs.create(path, False)
         out.write(json.dumps(self.state).encode())
         out.close()
+        if self.state["version"] > VERSIONS:
+            old, fs = self._fs(f"{self.path}/_manifest/{self.state['version'] - VERSIONS:09d}")
+            fs.delete(old, False)
+
+    def _retire(self, level: str, batches: list[int]) -> None:
+        """Deletes what was retired before, and notes what is now."""
+        for at in self.state["retired"]:
+            path, fs = self._fs(f"{self.path}/{at}")
+            fs.delete(path, True)
+        self.state["retired"] = [f"{level}/batch={b}" for b in batches]
 
     # tables
     def _type(self) -> T.StructType:
@@ -85,13 +101,15 @@ class RollupStore:
                     self.state["pending"][f"{c}>{p}"].append(k)
         return k
 
-    def ingest(self, samples: DataFrame, key: str | None = None) -> bool:
-        """All rows or none; False if the key was ingested before."""
-        if key is not None and key in self.state["keys"]:
+    def ingest(self, samples: DataFrame, key: str | None = None, mark: tuple[str, int] | None = None) -> bool:
+        """All rows or none; False if the key, or a batch of the mark's feed with its number or a later one, was ingested before."""
+        if key is not None and key in self.state["keys"] or mark is not None and mark[1] <= self.state["marks"].get(mark[0], -1):
             return False
         self._add("second", from_samples(validated(samples, self.schema), self.schema, "second"))
         if key is not None:
             self.state["keys"].append(key)
+        if mark is not None:
+            self.state["marks"][mark[0]] = mark[1]
         self._commit()
         return True
 
@@ -109,7 +127,7 @@ class RollupStore:
         return done
 
     def prune(self) -> None:
-        """Per level with a limit, drops consumed buckets that end at or before the newest end less the limit."""
+        """Per level with a limit, drops consumed buckets that end at or before the newest end less the limit; does nothing where none is due."""
         changed = False
         for level, seconds in self.retention.items():
             waiting = {b for c, p in EDGES if c == level for b in self.state["pending"][f"{c}>{p}"]}
@@ -117,13 +135,16 @@ class RollupStore:
             newest = self._rows(level, self.state["live"][level]).agg(F.max(bucket_end("bucket_start", level))).first()[0]
             if newest is None or not done:
                 continue
-            cutoff = F.lit(newest).cast("timestamp_ntz") - F.expr(f"make_dt_interval(0, 0, 0, {float(seconds)})")
+            cutoff = newest - timedelta(seconds=float(seconds))
+            alive = bucket_end("bucket_start", level) > literal(cutoff)
             rows = self._rows(level, done)
-            left = merge_states(rows.where(bucket_end("bucket_start", level) > cutoff), self.schema, ["bucket_start", *self.schema.dimensions])
+            self.state["cutoff"][level] = max(self.state["cutoff"].get(level, ""), cutoff.isoformat())
+            if not rows.where(~alive).limit(1).count():
+                continue
+            left = merge_states(rows.where(alive), self.schema, ["bucket_start", *self.schema.dimensions])
             self.state["live"][level] = [b for b in self.state["live"][level] if b in waiting]
             self._add(level, left, pending=False)
-            before = self.state["cutoff"].get(level, "")
-            self.state["cutoff"][level] = max(before, newest.isoformat())
+            self._retire(level, done)
             changed = True
         if changed:
             self._commit()
@@ -136,11 +157,33 @@ class RollupStore:
             merged = merge_states(self._rows(level, done), self.schema, ["bucket_start", *self.schema.dimensions])
             self.state["live"][level] = sorted(waiting)
             self._add(level, merged, pending=False)
+            self._retire(level, done)
             self._commit()
 
     def sweep(self) -> None:
+        """Rolls up, prunes, and makes one batch of many."""
         self.rollup()
         self.prune()
+        for level in LEVELS:
+            if len(self.state["live"][level]) > BATCHES:
+                self.compact(level)
+        self.state["swept"] = datetime.now(timezone.utc).isoformat()
+        self._commit()
+
+    def freshness(self) -> DataFrame:
+        """(level, newest, stale, last_sweep) per level: the start of its newest bucket (null: none), whether a level below has states that it lacks, and when the last sweep ended (null: never)."""
+        below = {p: c for c, p in EDGES}
+        out = None
+        for level in LEVELS:
+            path, at = [], level
+            while at in below:
+                path.append(f"{below[at]}>{at}")
+                at = below[at]
+            stale = any(self.state["pending"][e] for e in path)
+            one = self.states(level).agg(F.max("bucket_start").alias("newest"))
+            one = one.select(F.lit(level).alias("level"), "newest", F.lit(stale).alias("stale"), F.lit(self.state["swept"]).cast("timestamp").alias("last_sweep"))
+            out = one if out is None else out.unionByName(one)
+        return out
 
     def set_retention(self, retention: dict[str, float]) -> None:
         self.retention = validate_retention(retention)
@@ -155,7 +198,7 @@ class RollupStore:
         return merge_states(self.states(level), self.schema, ["bucket_start", *self.schema.dimensions]).orderBy("bucket_start")
 
     def bucket(self, level: str, start: datetime) -> DataFrame:
-        return self.buckets(level).where(F.col("bucket_start") == F.lit(start).cast("timestamp_ntz"))
+        return self.buckets(level).where(F.col("bucket_start") == literal(start))
 
     def bucket_count(self, level: str) -> int:
         return self.states(level).select("bucket_start").distinct().count()

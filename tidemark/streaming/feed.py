@@ -1,4 +1,4 @@
-"""A Structured Streaming feed into a store: every micro-batch is ingested under its own key, then rolled up and pruned."""
+"""A Structured Streaming feed into a store: every micro-batch is ingested under its own number, then rolled up and pruned."""
 
 from __future__ import annotations
 
@@ -9,10 +9,10 @@ from ..sources.store import RollupStore
 
 
 def feed(samples: DataFrame, store: RollupStore, checkpoint: str, every: str | None = "30 seconds", name: str = "feed") -> StreamingQuery:
-    """No watermark: late samples always land. A replayed batch has the key it had, and is skipped."""
+    """No watermark: late samples always land. A replayed batch has the number it had, and is skipped."""
 
     def batch(df: DataFrame, k: int) -> None:
-        store.ingest(df, key=f"{name}-{k}")
+        store.ingest(df, mark=(name, k))
         store.sweep()
 
     writer = samples.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
