@@ -1,10 +1,12 @@
 """Operator 5 (DataFrame functions only): URL rules, and for other URLs a path-template tree.
 
-Templates grow level by level under each host. A segment with a digit is variable. So are the segments below a template
-that has many distinct ones for its rows. Sibling branches below one template that behave alike in the labelled URLs and
-in the shape of their subtrees are merged into one wildcard branch. A template's purity is the share of bad ones among
-its labelled URLs, smoothed towards its host's and the whole table's; a template with labelled
-URLs of its own and a purity above a bound is rejected.
+Templates grow level by level under each host, as deep as several URLs share one; the rest of a URL that is alone is its
+tail. A segment with a digit is variable, and so are all below a template that has many distinct ones for its URLs. Of other
+sibling branches, those that are statistically like the rest of their siblings merge into one wildcard branch: neither the
+share of bad ones among labelled URLs nor that of URLs that go on deeper differs, by a likelihood-ratio test of two
+binomials. A branch without labels can't differ in them, so it joins siblings of its shape and is judged with them. A
+template's purity is the share of bad ones among its labelled URLs, smoothed towards the purity of the template above it,
+that of a host towards the whole table's; a URL whose template's purity reaches a bound is blocked.
 
 URLs are counted once a distinct (host, path) before anything else, so a hot host or URL is reduced before the shuffle;
 joins are on (host, template, segment) of tables read from files, which adaptive execution splits where they are skewed.
@@ -19,9 +21,9 @@ from .common import Workspace
 
 #: Rules of the query (host, path, verdict), in their text form host/path.
 RULES: list[tuple[str, str]] = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
-#: Levels of the tree; what is deeper is one tail segment. Distinct segments from which a level may be variable, and their
-#: least share of the rows. Weight of the prior in the smoothed purity, and the purity from which a template is rejected.
-LEVELS, DISTINCT, SPREAD, PRIOR, REJECT = 4, 8, 0.5, 8.0, 0.7
+#: Distinct segments from which all below a template are variable, and their least share of its URLs. Weight of the prior in
+#: the smoothed purity, the purity from which a template is rejected, and the bound of the test (5 % of chi-square with one degree).
+DISTINCT, SPREAD, PRIOR, REJECT, ALIKE = 8, 0.5, 8.0, 0.7, 3.841
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -47,50 +49,64 @@ def rule_of(rules: list[tuple[str, str]]) -> tuple[Column, Column]:
     return name, verdict
 
 
+def _likelihood(k: Column, n: Column) -> Column:
+    """Logarithm of the greatest likelihood of k of n."""
+    part = lambda x: F.when(x > 0, x * F.log(x / n)).otherwise(0.0)
+    return F.when(n > 0, part(k) + part(n - k)).otherwise(0.0)
+
+
+def differs(k: Column, n: Column, of: Column, all_: Column) -> Column:
+    """Twice the log likelihood ratio of k of n against the rest of ``of`` of ``all_``."""
+    k, n, of, all_ = (x.cast("double") for x in (k, n, of, all_))
+    return 2 * (_likelihood(k, n) + _likelihood(of - k, all_ - n) - _likelihood(of, all_))
+
+
 def template_verdicts(ws: Workspace, urls: DataFrame) -> DataFrame:
-    """(host, path, n, good, bad), one row per distinct URL -> (host, path, template, purity, rejected)."""
-    segments = F.filter(F.split(F.col("path"), "/"), lambda s: s != "")
-    tail = F.when(F.size("segments") > LEVELS, F.array(F.array_join(F.slice("segments", LEVELS + 1, 1_000_000), "/"))).otherwise(F.array().cast("array<string>"))
-    level = urls.withColumn("segments", segments).withColumn("segments", F.concat(F.slice("segments", 1, LEVELS), tail)).withColumn("template", F.lit(""))
-    level = ws.save(level, "level-0")
-    for k in range(level.agg(F.max(F.size("segments"))).first()[0] or 0):
-        segment = F.when(F.size("segments") > k, F.when(F.element_at("segments", k + 1).rlike("[0-9]"), "*").otherwise(F.element_at("segments", k + 1)))
-        now = level.withColumn("segment", segment)
-        nodes = now.where("segment is not null").groupBy("host", "template", "segment").agg(
-            F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.avg((F.size("segments") > k + 1).cast("double")).alias("inner"), F.count("*").alias("leaves")
-        )
-        nodes = ws.save(nodes, f"nodes-{k}")
-        spread = nodes.where("segment <> '*'").groupBy("host", "template").agg(F.count("*").alias("kinds"), F.sum("n").alias("rows"))
-        variable = spread.select("host", "template", ((F.col("kinds") >= DISTINCT) & (F.col("kinds") >= SPREAD * F.col("rows"))).alias("variable"))
-        # alike: labels of one kind (or none), the same share of inner pages in fifths, and the same magnitude of leaves
-        lean = F.when(F.col("good") + F.col("bad") == 0, 0).when(F.col("bad") * 2 > F.col("good") + F.col("bad"), 1).otherwise(2)
-        shape = F.xxhash64(lean, F.round(F.col("inner") * 5), F.round(F.log2(F.col("leaves"))))
-        alike = nodes.where("segment <> '*'").withColumn("shape", shape)
-        groups = alike.groupBy("host", "template", "shape").agg(F.count("*").alias("kin"), F.min("segment").alias("eldest"))
-        mapped = alike.select("host", "template", "segment", "shape").join(ws.save(groups, f"groups-{k}"), ["host", "template", "shape"]).join(ws.save(variable, f"variable-{k}"), ["host", "template"])
-        mapped = mapped.select("host", "template", "segment", F.when(F.col("variable"), "*").when(F.col("kin") > 1, F.concat(F.lit("{"), "eldest", F.lit("}"))).otherwise(F.col("segment")).alias("to"))
-        mapped = ws.save(mapped, f"mapped-{k}")
-        joined = now.join(mapped, ["host", "template", "segment"], "left")
-        next_ = F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.coalesce("to", "segment")))
-        level = ws.save(joined.select("host", "path", "n", "good", "bad", "segments", next_.alias("template")), f"level-{k + 1}")
-    total = level.agg(F.sum("good"), F.sum("bad")).first()
-    good, bad = (float(x or 0) for x in total)
-    whole = (bad + 1) / (good + bad + 2)
-    templates = ws.save(level.groupBy("host", "template").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "templates")
-    hosts = ws.save(templates.groupBy("host").agg(F.sum("good").alias("g"), F.sum("bad").alias("b")), "hosts")
-    prior = (F.col("b") + PRIOR * whole) / (F.col("g") + F.col("b") + PRIOR)
-    purity = (F.col("bad") + PRIOR * prior) / (F.col("good") + F.col("bad") + PRIOR)
-    judged = ws.save(templates.join(hosts, "host").select("host", "template", purity.alias("purity"), (F.col("good") + F.col("bad")).alias("labelled")), "judged")
-    return level.select("host", "path", "template").join(judged, ["host", "template"]).withColumn("rejected", (F.col("purity") >= REJECT) & (F.col("labelled") > 0))
+    """(host, path, good, bad), one row per distinct URL -> (host, path, template, purity)."""
+    wild = lambda s: F.when(s.rlike("[0-9]"), "*").otherwise(s)
+    smooth = lambda above: (F.col("bad") + PRIOR * above) / (F.col("good") + F.col("bad") + PRIOR)
+    urls = ws.save(urls.select("host", "path", "good", "bad", F.filter(F.split("path", "/"), lambda s: s != "").alias("segments")), "urls")
+    good, bad = (float(x or 0) for x in urls.agg(F.sum("good"), F.sum("bad")).first())
+    hosts = urls.groupBy("host").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    hosts = ws.save(hosts.select("host", smooth(F.lit((bad + 1) / (good + bad + 2))).alias("purity")), "hosts")
+    level = ws.save(urls.join(hosts, "host").select("host", "path", "good", "bad", "segments", F.lit("").alias("template"), "purity", F.lit(2).alias("leaves")), "level-0")
+    finished, k = [], 0
+    while True:
+        over = (F.size("segments") <= k) | (F.col("leaves") == 1)
+        tail = F.transform(F.slice("segments", k + 1, F.greatest(F.size("segments") - k, F.lit(0))), wild)
+        finished.append(level.where(over).select("host", "path", F.concat("template", F.array_join(F.transform(tail, lambda s: F.concat(F.lit("/"), s)), "")).alias("template"), "purity"))
+        now = level.where(~over).withColumn("segment", wild(F.get("segments", F.lit(k))))
+        nodes = ws.save(now.groupBy("host", "template", "purity", "segment").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.sum((F.size("segments") > k + 1).cast("int")).alias("inner"), F.count("*").alias("leaves")), f"nodes-{k}")
+        if not nodes.limit(1).count():
+            break
+        named = F.col("segment") != "*"
+        all_ = nodes.where(named).groupBy("host", "template").agg(F.count("*").alias("kinds"), *[F.sum(c).alias(f"all_{c}") for c in ("good", "bad", "inner", "leaves")])
+        both = nodes.join(ws.save(all_, f"all-{k}"), ["host", "template"], "left")
+        variable = (F.col("kinds") >= DISTINCT) & (F.col("kinds") >= SPREAD * F.col("all_leaves"))
+        labels, shape = differs(F.col("bad"), F.col("good") + F.col("bad"), F.col("all_bad"), F.col("all_good") + F.col("all_bad")), differs(F.col("inner"), F.col("leaves"), F.col("all_inner"), F.col("all_leaves"))
+        alike = (F.col("kinds") > 1) & (labels <= ALIKE) & (shape <= ALIKE)
+        mapped = ws.save(both.select("host", "template", "purity", "segment", "good", "bad", "leaves", F.when(named & ~(variable | alike), F.col("segment")).otherwise("*").alias("to")), f"mapped-{k}")
+        merged = mapped.groupBy("host", "template", "purity", "to").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.sum("leaves").alias("leaves"))
+        merged = ws.save(merged.select("host", "template", "to", smooth(F.col("purity")).alias("purity"), "leaves"), f"merged-{k}")
+        known = mapped.select("host", "template", "segment", "to").join(merged, ["host", "template", "to"])
+        joined = now.drop("purity", "leaves").join(ws.save(known, f"known-{k}"), ["host", "template", "segment"])
+        k += 1
+        level = ws.save(joined.select("host", "path", "good", "bad", "segments", F.concat("template", F.lit("/"), "to").alias("template"), "purity", "leaves"), f"level-{k}")
+        ws.drop(*[f"{x}-{k - 1}" for x in ("nodes", "all", "mapped", "merged", "known")])
+    out = finished[0]
+    for more in finished[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], id: str = "page_id", url: str = "url", labels: DataFrame | None = None) -> DataFrame:
     """One row per row of ``pages``: id, host, path, rule, verdict, template, purity.
 
-    A rule decides where one fits; else the URL's template: block if it is rejected, allow otherwise. The labelled URLs are
-    those that a rule decides and, if given, labels (id, bad 0 or 1). A null URL or one without :// has an empty host and
-    path; it is judged as the empty template. Ties of equally long rules go to the later in order. Repeated rows, null ids
-    and other columns change nothing; an empty table gives an empty result.
+    A rule decides where one fits; else the URL's template: block if its purity reaches REJECT, allow otherwise. The labelled
+    URLs are those that a rule decides and, if given, labels (id, bad 0 or 1; the least bad of a repeated id counts). A null
+    URL or one without :// has an empty host and path; it is judged as the empty template. Paths of any depth have all their
+    segments. Ties of equally long rules go to the later in order. Repeated rows, null ids and other columns change
+    nothing; an empty table gives an empty result.
     """
     ws = Workspace(pages.sparkSession, "urls")
     rows = pages.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(url), F.lit("")).alias("url"))
@@ -99,11 +115,11 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id: str = "page_id", u
     rows = rows.withColumn("rule", name).withColumn("said", verdict)
     bad = F.col("said") == "block"
     if labels is not None:
-        rows = rows.join(labels.select(F.col("id"), F.col("bad").cast("int").alias("label")).dropDuplicates(["id"]), "id", "left")
+        rows = rows.join(labels.select(F.col("id"), F.col("bad").cast("int").alias("label")).groupBy("id").agg(F.min("label").alias("label")), "id", "left")
         bad = F.coalesce(F.col("label") == 1, bad)
     rows = ws.save(rows.withColumn("bad", bad), "rows")
     count = lambda c: F.sum(F.when(c, 1).otherwise(0)).alias
-    urls = rows.groupBy("host", "path").agg(F.count("*").alias("n"), count(~F.col("bad"))("good"), count(F.col("bad"))("bad"))
+    urls = rows.groupBy("host", "path").agg(count(~F.col("bad"))("good"), count(F.col("bad"))("bad"))
     known = ws.save(template_verdicts(ws, urls), "verdicts")
     out = rows.drop("bad").join(known, ["host", "path"], "left")
-    return out.select(F.col("id").alias(id), "host", "path", "rule", F.coalesce("said", F.when(F.col("rejected"), "block").otherwise("allow")).alias("verdict"), "template", "purity")
+    return out.select(F.col("id").alias(id), "host", "path", "rule", F.coalesce("said", F.when(F.col("purity") >= REJECT, "block").otherwise("allow")).alias("verdict"), "template", "purity")
