@@ -9,7 +9,9 @@ words on. Members of a run of three or more may share more with one another than
 not: for those runs all windows of LEAST words around the suffixes are sorted in a second round, in which no match can fall short.
 
 Equal texts are one class, of which one is looked at. Sorting is by range over (head, document, place), so one head
-of any number of suffixes is spread over partitions; a run that crosses a border has a local head, matched to the one before.
+of any number of suffixes is spread over partitions; a run that crosses a border is headed by its first place in the partition
+where it begins, so the result doesn't depend on the partitions. The text of a document that heads many others is copied for
+every share of them.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import TEXT_ROWS, Workspace, map_steps
@@ -27,6 +29,14 @@ from .words import U, Texts, mix, roll
 #: Words of a passage that counts, neighbouring positions of which one is retained, and words that its hash covers.
 LEAST, WINDOW, PIECE = 50, 20, 8
 HEAD = LEAST - WINDOW + 1
+#: Shares of the documents that refer to one, each of which joins its own copy of that one's text.
+COPIES = 64
+#: Names of a text's hashes.
+KEYS = ["k1", "k2", "k3"]
+
+
+def hashes(text: str) -> list[Column]:
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), F.length(text).alias("k3")]
 
 
 def retained(texts: Texts, words: np.ndarray) -> np.ndarray:
@@ -77,49 +87,69 @@ def whole_windows(anchors: DataFrame) -> DataFrame:
 
 
 def neighbours(ws: Workspace, table: DataFrame, name: str) -> DataFrame:
-    """(head, doc, at, to_doc, to_at): each suffix that isn't the first of its run, and the first of the run in its partition.
+    """(head, doc, at, to_doc, to_at, many): each suffix that isn't the first of its run, the first one, and 1 where the run has or may have three.
 
-    A partition's first run may go on from the one before: a row with null ends of the run names its local head and that
-    border's last run head, found from one row per partition.
+    A partition's first run may go on from the one before. Its rows name the first place in this partition, which two rows
+    per partition, one for each end, map to the first place of the whole run.
     """
     ordered = table.repartitionByRange("head", "doc", "at").sortWithinPartitions("head", "doc", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, held, first = TaskContext.get().partitionId(), None, None
+        task, carry, before, first = TaskContext.get().partitionId(), None, None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             head, doc, at = (batch.column(c).to_numpy() for c in ("head", "doc", "at"))
-            new = np.concatenate([[held is None or head[0] != held[0]], head[1:] != head[:-1]])
-            index = np.maximum.accumulate(np.where(new, np.arange(len(head)), -1))
-            to_doc = np.where(index >= 0, doc[index], held[1] if held else 0)
-            to_at = np.where(index >= 0, at[index], held[2] if held else 0)
-            if first is None:
-                first = (head[0], doc[0], at[0])
-            held = (head[-1], to_doc[-1], to_at[-1])
-            keep = np.flatnonzero(~new)
-            yield rows(head[keep], doc[keep], at[keep], to_doc[keep], to_at[keep], np.full(len(keep), -1))
-        if held is not None:
-            yield rows(*(np.array([x]) for x in (first[0], first[1], first[2], -1, -1, 2 * task)))
-            yield rows(*(np.array([x]) for x in (held[0], held[1], held[2], -1, -1, 2 * task + 1)))
-
-    def rows(*columns: np.ndarray) -> pa.RecordBatch:
-        kinds = (np.int64, np.int64, np.int32, np.int64, np.int32, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(columns, kinds, strict=True)], ["head", "doc", "at", "to_doc", "to_at", "border"])
-
-    found = ws.save(ordered.mapInArrow(run, "head long, doc long, at int, to_doc long, to_at int, border long"), name)
-    # two rows per partition, not per suffix
-    borders = sorted(found.where("border >= 0").select("border", "head", "doc", "at").collect())
+            if carry is not None:
+                head, doc, at = (np.concatenate([[x], c]) for x, c in zip(carry, (head, doc, at), strict=True))
+            first = first or (head[0], doc[0], at[0])
+            out, before = members(head, doc, at, before, first)
+            carry = (head[-1], doc[-1], at[-1])
+            yield rows(*(c[:-1][out[0][:-1]] for c in (head, doc, at, *out[1:])), -1)
+        if carry is not None:
+            head, doc, at = (np.array([x]) for x in carry)
+            out, _ = members(head, doc, at, before, first, True)
+            yield rows(*(c[out[0]] for c in (head, doc, at, *out[1:])), -1)
+            yield rows(*(np.array([x]) for x in (*first, -1, -1, 0)), 2 * task)
+            yield rows(head, doc, at, out[1], out[2], out[3], 2 * task + 1)
+
+    def members(head, doc, at, before, first, ends=False):
+        """Which rows aren't the first of their run; that one's doc and at, and whether the run may have three rows; and what the last row's run has before it."""
+        n = len(head)
+        new = np.concatenate([[before is None or head[0] != before[0]], head[1:] != head[:-1]])
+        index = np.maximum.accumulate(np.where(new, np.arange(n), -1))
+        to_doc = np.where(index >= 0, doc[index], before[1] if before else 0)
+        to_at = np.where(index >= 0, at[index], before[2] if before else 0)
+        place = np.where(index >= 0, np.arange(n) - index, (before[3] if before else 0) + np.arange(n))
+        goes_on = np.concatenate([head[1:] == head[:-1], [ends]])
+        many = (place > 1) | goes_on | (head == first[0])
+        return (~new, to_doc, to_at, many.astype(np.int32)), (head[-1], to_doc[-1], to_at[-1], place[-1])
+
+    def rows(head, doc, at, to_doc, to_at, many, border) -> pa.RecordBatch:
+        kinds = (np.int64, np.int64, np.int32, np.int64, np.int32, np.int32, np.int64)
+        columns = (head, doc, at, to_doc, to_at, many, np.full(len(head), border))
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(columns, kinds, strict=True)], ["head", "doc", "at", "to_doc", "to_at", "many", "border"])
+
+    found = ws.save(ordered.mapInArrow(run, "head long, doc long, at int, to_doc long, to_at int, many int, border long"), name)
+    # two rows per partition, not per suffix: its first row, and its last one with the first of that one's run
+    borders = sorted(tuple(r) for r in found.where("border >= 0").select("border", "head", "doc", "at", "to_doc", "to_at").collect())
     links, last = [], None
-    for border, head, doc, at in borders:
-        if border % 2 == 0 and last and last[0] == head and last[1:] != (doc, at):
-            links.append((head, doc, at, last[1], last[2]))
-        if border % 2 and not (last and last[0] == head):
-            last = (head, doc, at)
+    for border, head, doc, at, to_doc, to_at in borders:
+        if border % 2 == 0:
+            begins = (head, doc, at)
+            if last and last[0] == head:
+                links.append((head, doc, at, last[1], last[2], 1))
+        elif not (last and last[0] == head and begins[0] == head):
+            last = (head, to_doc, to_at)
     inside = found.where("border < 0").drop("border")
-    return inside.union(ws.spark.createDataFrame(links, inside.schema)) if links else inside
+    if not links:
+        return inside
+    ends = ws.spark.createDataFrame(links, inside.schema)
+    real = F.broadcast(ends.select("head", F.col("doc").alias("to_doc"), F.col("at").alias("to_at"), F.col("to_doc").alias("real_doc"), F.col("to_at").alias("real_at")))  # one row per partition at most
+    moved = inside.join(real, ["head", "to_doc", "to_at"], "left")
+    return moved.select("head", "doc", "at", F.coalesce("real_doc", "to_doc").alias("to_doc"), F.coalesce("real_at", "to_at").alias("to_at"), "many").union(ends)
 
 
 def extend(pairs: DataFrame) -> DataFrame:
@@ -153,40 +183,54 @@ def extend(pairs: DataFrame) -> DataFrame:
     return map_steps(pairs, ("text", "to_text"), make, "doc long, start int, n int, to_doc long, to_start int, head long")
 
 
-def repeated_passages(docs: DataFrame, ws: Workspace, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, start, n, to_doc, to_start): n words from word start of doc are those from to_start of to_doc.
+def repeated_passages(docs: DataFrame, ws: Workspace, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame | None]:
+    """(doc, start, n, to_doc, to_start): n words from word start of doc are those from to_start of to_doc; and what texts count.
 
     (to_doc, to_start) comes before (doc, start), so removing all the doc sides leaves one copy of each passage. Words are
-    runs of characters other than ASCII white space, compared as bytes. Null ids and null texts are left out; rows that
-    repeat an id count as one document, the one with the least text. Equal texts refer to the least id.
+    runs of characters other than ASCII white space, compared as bytes. Null ids and null texts are left out. Rows that
+    repeat an id with one text count as one document. Where an id has several texts, the one with the least hash counts and
+    the others are left out: the second result then has the (doc, k1, k2, k3) that count of such ids, and is None if there
+    are none. Equal texts refer to the least id.
     """
-    named = docs.select(F.col(id).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
-    keyed = ws.save(named.select("doc", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"), F.length("text").alias("k3")).distinct(), "keys")
-    classes = ws.save(keyed.groupBy("k1", "k2", "k3").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "classes")
-    copies = ws.save(keyed.join(classes, ["k1", "k2", "k3"]).where("doc <> first").select("doc", "first").distinct(), "copies")
-    table = ws.save(suffixes(named.join(copies, "doc", "left_anti")), "suffixes", TEXT_ROWS)
+    named = docs.select(F.col(f"`{id}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text")).where("doc is not null and text is not null")
+    keyed = ws.save(named.select("doc", *hashes("text")).distinct(), "keys")
+    many = keyed.groupBy("doc").agg(F.count("*").alias("n"), F.min(F.struct(*KEYS)).alias("k")).where("n > 1")
+    chosen = ws.save(many.select("doc", "k.*"), "chosen")
+    if chosen.limit(1).count():
+        counts = chosen.select("doc", F.struct(*KEYS).alias("k"))
+        named = named.join(counts, "doc", "left").where(F.col("k").isNull() | (F.col("k") == F.struct(*hashes("text")))).select("doc", "text")
+        keyed = ws.save(keyed.join(counts, "doc", "left").where(F.col("k").isNull() | (F.col("k") == F.struct(*KEYS))).select("doc", *KEYS), "one-key")
+    else:
+        chosen = None
+    classes = ws.save(keyed.groupBy(*KEYS).agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "classes")
+    copies = ws.save(keyed.join(classes, KEYS).where("doc <> first").select("doc", "first").distinct(), "copies")
+    ws.drop("keys")
+    table = ws.save(suffixes(named.join(copies, "doc", "left_anti")).distinct(), "suffixes", TEXT_ROWS)
     found, texts = [], None
     for k in range(2):
         near = ws.save(neighbours(ws, table, f"sorted-{k}").where("doc <> to_doc or at <> to_at").distinct(), f"near-{k}")
         pairs = near.groupBy("doc", "to_doc").agg(F.collect_list(F.struct("at", "to_at", "head")).alias("anchors"))
-        pairs = ws.save(pairs, f"pairs-{k}")
-        ws.drop(f"sorted-{k}", f"near-{k}")
+        pairs = ws.save(pairs.withColumn("copy", F.pmod(F.xxhash64("doc"), F.lit(COPIES)).cast("int")), f"pairs-{k}")
+        ws.drop(f"sorted-{k}")
         if texts is None:
             wanted = pairs.select("doc").union(pairs.select("to_doc")).distinct()
-            texts = ws.save(named.join(wanted, "doc", "left_semi").dropDuplicates(["doc"]), "texts")
-        both = pairs.join(texts, "doc").join(texts.select(F.col("doc").alias("to_doc"), F.col("text").alias("to_text")), "to_doc")
+            texts = ws.bucketed(named.join(wanted, "doc", "left_semi").dropDuplicates(["doc"]), "texts", "doc")
+        # a document that many refer to goes with each of their shares once
+        sources = pairs.select("to_doc", "copy").distinct().join(texts.select(F.col("doc").alias("to_doc"), F.col("text").alias("to_text")), "to_doc")
+        both = pairs.join(texts, "doc").join(sources, ["to_doc", "copy"])
         matched = ws.save(extend(both.select("doc", "to_doc", "anchors", "text", "to_text")), f"matched-{k}", TEXT_ROWS)
         found.append(matched.where("n > 0"))
         if not k:  # members of a run of three or more may share more with each other than with its head
-            many = table.groupBy("head").count().where("count > 2").select("head")
-            again = table.join(many, "head", "left_semi").groupBy("doc").agg(F.collect_set("at").alias("ats"))
+            some = near.where("many = 1")
+            again = some.select("doc", "at").union(some.select("to_doc", "to_at")).groupBy("doc").agg(F.collect_set("at").alias("ats"))
             table = ws.save(whole_windows(again.join(texts, "doc").select("doc", "ats", "text")), "windows", TEXT_ROWS)
+        ws.drop(f"near-{k}", "suffixes")
     found = found[0].union(found[1])
     spans = found.select("doc", "start", "n", "to_doc", "to_start")
     if copies.limit(1).count():
         whole = map_steps(named.join(copies, "doc").select("doc", "first", "text"), "text", _counts, "doc long, start int, n int, to_doc long, to_start int")
         spans = spans.union(whole)
-    return spans
+    return spans, chosen
 
 
 def _counts(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -197,21 +241,32 @@ def _counts(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def passage_report(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per repeated passage: id, start_word, n_words, of_<id>, of_start_word; see ``repeated_passages``."""
-    found = repeated_passages(docs, Workspace(docs.sparkSession, "suffixes"), id, text)
+    """One row per repeated passage: id, start_word, n_words, of_<id>, of_start_word; see ``repeated_passages``. An empty table gives an empty result; other columns aren't read."""
+    found, _ = repeated_passages(docs, Workspace(docs.sparkSession, "suffixes"), id, text)
     return found.select(F.col("doc").alias(id), F.col("start").cast("long").alias("start_word"), F.col("n").cast("long").alias("n_words"), F.col("to_doc").alias(f"of_{id}"), F.col("to_start").cast("long").alias("of_start_word")).distinct()
 
 
 def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with its columns, each repeated passage left in its first place only; documents that lose all words go."""
+    """``docs`` with its columns, each repeated passage left in its first place only; documents that lose all words go.
+
+    Rows with a null id or text, and those of an id whose text isn't the one that counts (see ``repeated_passages``), are
+    left as they are. An empty table gives an empty result. Columns of any name pass through.
+    """
     ws = Workspace(docs.sparkSession, "suffixes")
-    spans = ws.save(repeated_passages(docs, ws, id, text), "spans")
-    cuts = spans.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set(F.struct("start", "n")).alias("__cuts"))
-    joined = docs.join(cuts, F.col(id).cast("long") == F.col("__doc"), "left").drop("__doc")
+    spans, chosen = repeated_passages(docs, ws, id, text)
+    spans = ws.save(spans, "spans")
+    ws.drop("texts", "windows")
+    cuts = spans.groupBy("doc").agg(F.collect_set(F.struct("start", "n")).alias("cuts"))
+    names = [f"c{i}" for i in range(len(docs.columns))]
     at = docs.columns.index(text)
+    own = F.col(names[docs.columns.index(id)]).cast("long")
+    joined = docs.toDF(*names).join(cuts, own == F.col("doc"), "left").drop("doc")
+    if chosen is not None:
+        joined = joined.join(chosen.select("doc", F.struct(*KEYS).alias("k")), own == F.col("doc"), "left")
+        joined = joined.withColumn("cuts", F.when(F.col("k").isNull() | (F.col("k") == F.struct(*hashes(names[at]))), F.col("cuts")))
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        column, cuts = batch.column(text), batch.column("__cuts").to_pylist()
+        column, cuts = batch.column(at), batch.column(len(names)).to_pylist()
         marked = [i for i, c in enumerate(cuts) if c]
         keep, out = np.ones(batch.num_rows, bool), column.to_pylist()
         texts = Texts(column)
@@ -227,7 +282,8 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
                 parts.append(data[at_byte : texts.starts[first + s] - base])
                 at_byte = int(texts.starts[first + e] - base) if e < n else len(data)
             out[i] = b"".join([*parts, data[at_byte:]]).decode()
-        columns = [pa.array(out, column.type) if k == at else batch.column(k) for k in range(batch.num_columns - 1)]
-        return pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1]).filter(pa.array(keep))
+        columns = [pa.array(out, column.type) if k == at else batch.column(k) for k in range(len(names))]
+        return pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
 
-    return map_steps(joined.select(*[F.col(f"`{c}`") for c in docs.columns], "__cuts"), text, make, docs.schema)
+    plain = docs.toDF(*names)
+    return map_steps(joined.select(*names, "cuts"), names[at], make, plain.schema).toDF(*docs.columns)
