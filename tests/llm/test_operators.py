@@ -165,6 +165,50 @@ def test_suffixes_are_brute_force(docs, texts):
     assert suffixes.passage_report(empty(docs)).count() == 0
 
 
+def test_suffixes_do_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(12)
+    passages = [[f"p{k}w{i}" for i in range(70)] for k in range(6)]
+    rows = []
+    for i in range(240):  # parts of a few passages in every text, so that runs are long and cross borders
+        words = []
+        for _ in range(3):
+            p, low = passages[rng.integers(6)], int(rng.integers(0, 20))
+            words += [*(f"f{i}x{x}" for x in rng.integers(0, 99, 5)), *p[low : low + int(rng.integers(45, 71))]]
+        rows.append((i, " ".join(words)))
+    first, want = {}, defaultdict(set)
+    for i, t in rows:
+        w = t.split()
+        for k in range(len(w) - 49):
+            if first.setdefault(tuple(w[k : k + 50]), (i, k)) != (i, k):
+                want[i].update(range(k, k + 50))
+    before, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for partitions in ("1", "4", "43"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            got = defaultdict(set)
+            found = suffixes.passage_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+            for r in found:
+                got[r.doc_id].update(range(r.start_word, r.start_word + r.n_words))
+            assert got == want
+            seen.append(sorted(found))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert seen[0] == seen[1] == seen[2]
+
+
+def test_suffixes_leave_other_texts_of_an_id_alone(spark):
+    p, q = " ".join(f"p{i}" for i in range(60)), " ".join(f"q{i}" for i in range(200))
+    rows = [(1, p, "a", 1), (2, "x " + p, "b", 2), (2, q, "c", 3), (2, q, "d", 4), (3, "y " + p, "e", 5), (None, p, "f", 6), (4, None, "g", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `__doc` string, `cuts.k` int")
+    out = suffixes.remove_repeats(docs)
+    assert out.columns == docs.columns
+    left = {(r[0], r[1], r[2]) for r in out.collect()}
+    assert {(1, p, "a"), (2, q, "c"), (2, q, "d"), (3, "y ", "e"), (None, p, "f"), (4, None, "g")} <= left
+    assert {r for r in left if r[2] == "b"} <= {(2, "x " + p, "b"), (2, "x ", "b")} and len(left) == 7
+
+
 @pytest.mark.parametrize("partitions", ["1", "7"])
 def test_suffixes_find_what_members_of_a_run_share(spark, partitions):
     rows = []
@@ -230,6 +274,47 @@ def test_whole_lines_are_brute_force(spark):
     assert {r.doc_id for r in docs.join(lines.remove_duplicate_lines(docs), "doc_id", "left_anti").collect()} == want
 
 
+@pytest.mark.parametrize("fine", [False, True])
+def test_large_mixed_buckets_lose_no_link(spark, monkeypatch, fine):
+    from tidemark.llm import linking
+
+    monkeypatch.setattr(linking, "LARGE", 12)
+    monkeypatch.setattr(linking, "HUBS", 16)
+    monkeypatch.setattr(linking, "STAR_ROUNDS", 1)
+    if not fine:
+        monkeypatch.setattr(lines, "finer", lambda ws, table, ids, percent: linking.Test(table, lambda pairs: pairs.select("a", "b", "salt")))
+    rng = np.random.default_rng(31)
+    base = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "mnprs"]
+    texts = []
+    for _ in range(60):  # variants of one line, most of them below the threshold to most others
+        words = list(base[:70])
+        for k in rng.integers(0, 70, int(rng.integers(0, 9))):
+            words[k] = str(rng.choice(base))
+        texts.append(" ".join(words))
+    texts += [t + "!" for t in texts[:15]]
+    sets = [{t[k : k + 6] for k in range(len(t) - 5)} for t in texts]
+    component = components(range(len(texts)), [(a, b) for a in range(len(texts)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in lines.line_report(docs).collect()} == {i for i in component if component[i] != i}
+
+
+def test_lines_whose_first_hashes_are_equal(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(lines, "keys", lambda line="line": (F.length(line).cast("long"), F.xxhash64(line)))
+    rows = [(1, "abcdefgh\nzyxwvuts\nother line"), (2, "abcdefgh\nqwertyui"), (3, "zyxwvuts")]
+    out = lines.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.removed_lines for r in out} == {2: [0], 3: [0]}
+
+
+def test_lines_and_columns_of_any_name(spark):
+    rows = [(1, "same line here", "a", 1), (2, "same line here\nown words", "b", 2), (2, "text of the same id", "c", 3), (None, "same line here", "d", 4), (3, None, "e", 5), (4, "same line here", "f", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `drops` string, `row.left` int")
+    out = lines.remove_duplicate_lines(docs)
+    assert out.columns == docs.columns
+    assert sorted((tuple(r) for r in out.collect()), key=str) == sorted([(1, "same line here", "a", 1), (2, "own words", "b", 2), (2, "text of the same id", "c", 3), (None, "same line here", "d", 4), (3, None, "e", 5)], key=str)
+
+
 def test_quality_counts_and_trees(spark, docs, texts):
     labels = quality.labelled(spark.read.parquet(f"{SF}/labels.parquet"))
     trees = quality.learn(docs.selectExpr("doc_id as id", "text"), labels)
@@ -335,6 +420,97 @@ def test_urls(spark):
     assert all(r.verdict == ("block" if r.page_id < 100 else "allow") for r in out)
 
 
+def url_tree(urls):
+    """(host, path) -> (good, bad) to (host, path) -> (template, purity), by recursion over the tree."""
+    from math import log
+
+    def likelihood(k, n):
+        return sum(x * log(x / n) for x in (k, n - k) if x > 0) if n else 0.0
+
+    def differs(k, n, of, every):
+        return 2 * (likelihood(k, n) + likelihood(of - k, every - n) - likelihood(of, every))
+
+    def wild(s):
+        return "*" if re.search("[0-9]", s) else s
+
+    def smooth(rows, above):
+        good, bad = (sum(r[i] for r in rows) for i in (2, 3))
+        return (bad + 8 * above) / (good + bad + 8)
+
+    def grow(rows, template, purity, k):
+        for r in rows:
+            if len(r[1]) <= k or (k and len(rows) == 1):
+                out[r[0]] = (template + "".join("/" + wild(s) for s in r[1][k:]), purity)
+        if k and len(rows) == 1:
+            return
+        branches = defaultdict(list)
+        for r in rows:
+            if len(r[1]) > k:
+                branches[wild(r[1][k])].append(r)
+        named = {s: (len(b), sum(x[2] for x in b), sum(x[3] for x in b), sum(len(x[1]) > k + 1 for x in b)) for s, b in branches.items() if s != "*"}
+        n, good, bad, inner = (sum(v[i] for v in named.values()) for i in range(4))
+        merged = defaultdict(list)
+        for s, b in branches.items():
+            to = s
+            if s != "*":
+                v = named[s]
+                variable = len(named) >= 8 and len(named) >= 0.5 * n
+                alike = len(named) > 1 and differs(v[2], v[1] + v[2], bad, good + bad) <= 3.841 and differs(v[3], v[0], inner, n) <= 3.841
+                to = "*" if variable or alike else s
+            merged[to] += b
+        for to, b in merged.items():
+            grow(b, f"{template}/{to}", smooth(b, purity), k + 1)
+
+    out, rows = {}, [((h, p), [s for s in p.split("/") if s], *c) for (h, p), c in urls.items()]
+    good, bad = (sum(r[i] for r in rows) for i in (2, 3))
+    for host in {r[0][0] for r in rows}:
+        own = [r for r in rows if r[0][0] == host]
+        grow(own, "", smooth(own, (bad + 1) / (good + bad + 2)), 0)
+    return out
+
+
+@pytest.mark.parametrize("source", ["made", "sf0.01"])
+def test_url_tree_is_brute_force(spark, source):
+    rng = np.random.default_rng(20)
+    if source == "made":
+        kinds = ["buy", "wiki", "news", "blog", "shop", "tags", "a1", "x"]
+        rows = []
+        for i in range(900):
+            kind = kinds[rng.integers(8)]
+            rows.append((i, f"http://h{rng.integers(3)}.test/{kind}/" + "/".join(["s" + "abcdefgh"[rng.integers(8)], f"p{rng.integers(40)}", "deep", "deeper", "good" if i % 2 else "bad", f"n{i}"][: rng.integers(1, 7)])))
+        rows += [(1000 + i, f"http://d.test/a/b/c/d/{'good' if i % 2 else 'bad'}/x/p{i}") for i in range(40)] + [(2000, None), (2001, "http://h0.test"), (2002, "http://one.test/only/1")]
+        bad = {i: int("buy" in u or "/bad/" in u) for i, u in rows if u and i % 3 and i < 2000}
+    else:
+        rows = [(r.page_id, r.url) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url").collect()]
+        bad = {}
+    out = urltree.judge(spark.createDataFrame(rows, "page_id long, url string"), urltree.RULES, labels=spark.createDataFrame(list(bad.items()), "id long, bad int")).collect()
+    urls = defaultdict(lambda: [0, 0])
+    for r in out:
+        said = bad.get(r.page_id, {"allow": 0, "block": 1}.get(r.verdict) if r.rule else None)
+        counts = urls[r.host, r.path]
+        if said is not None:
+            counts[said] += 1
+    want = url_tree(urls)
+    for r in out:
+        template, purity = want[r.host, r.path]
+        assert (r.template, round(r.purity, 9)) == (template, round(purity, 9))
+        assert r.rule or r.verdict == ("block" if purity >= 0.7 else "allow")
+    undecided = {r.verdict for r in out if not r.rule}
+    assert undecided == {"allow", "block"}
+    if source == "made":
+        assert all(r.verdict == ("block" if "/bad/" in r.path else "allow") for r in out if r.host == "d.test")
+
+
+def test_urls_have_sql(spark):
+    import duckdb
+
+    path = "/root/testdata/sf0.01/pages.parquet"
+    got = sorted(tuple(map(str, (r.page_id, r.host, r.path, r.rule))) for r in urltree.judge(spark.read.parquet(path), urltree.RULES).collect())
+    fits = " ".join(f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '/{p}') then '{h}/{p}'" for h, _, p in (t.partition("/") for t, _ in sorted(urltree.RULES, key=lambda r: -len(r[0]))))
+    sql = f"with u as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from '{path}'), p as (select page_id, lower(regexp_extract(rest, '^([^/?#]*)', 1)) as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u) select page_id, host, path, case {fits} end as rule from p"
+    assert sorted(tuple(map(str, r)) for r in duckdb.sql(sql).fetchall()) == got
+
+
 def test_extraction(spark):
     page = "<html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a>Home</a></li></ul></nav><div class=\"content\"><h2>Title here</h2><p>A long paragraph of words &amp; more\n words.</p><div class=\"ad-box\">Buy now</div><p>Second <a href='x'>linked</a> one<br>continues.</p><form>Name <input></form><section class=\"comments\"><p>I think so too, very nice indeed</p></section></div><script>var t=\"</p>\";</script><footer>c 2020</footer></body></html>"
     rows = [(1, "u", page), (2, None, None), (3, "u", ""), (4, "u", "<p>only &lt;text"), (None, "u", page), (5, "u", "<b>x" * 3000)]

@@ -20,6 +20,9 @@ from .linking import Test, link_buckets
 WIDTH, BANDS, ROWS = 6, 12, 4
 #: Bins that may differ in a pair that is still compared: more than 26 of 48 differ at similarity 0.8 with a probability below 1e-7.
 DIFFER = 26
+#: Bins of the sketch that members of large mixed buckets get, 16 of 4 bits in an integer, and standard deviations by which those
+#: that differ may exceed what is expected at the least similarity (beyond with a probability below 1e-8).
+FINE, SLACK = 384, 6
 #: The white space that parts words.
 SPACE = " \t\n\x0b\f\r"
 
@@ -110,6 +113,32 @@ def near(pairs: DataFrame) -> DataFrame:
     return some.where((F.col("differ") <= DIFFER) & (F.col("differ") * 9 <= F.col("n"))).select("a", "b", "salt")
 
 
+def finer(ws: Workspace, lines: DataFrame, ids: DataFrame, percent: int) -> Test:
+    """A test by FINE bins for some lines: enough to tell those that are just below the threshold from those at it."""
+    rows = lines.join(ids, "id").select("id", F.explode(shingles(F.col("own"))).alias("h")).select("id", F.xxhash64("h").alias("h"))
+    group = F.pmod(F.shiftright("h", 8), F.lit(FINE // 16)).cast("int")
+    rows = rows.select("id", group.alias("part"), F.col("h").bitwiseAND(F.lit(15)).alias("row"), F.shiftright("h", 32).cast("int").alias("value"))
+    parts = rows.groupBy("id", "part").agg(*[F.min(F.when(F.col("row") == r, F.col("value"))).alias(f"b{r}") for r in range(16)])
+    held = F.lit(0).cast("long")
+    for r in range(16):
+        held = held.bitwiseOR(F.shiftleft(F.coalesce(F.pmod(f"b{r}", F.lit(15)) + 1, F.lit(0)).cast("long"), 4 * r))
+    parts = parts.select("id", "part", held.alias("held"))
+    table = parts.groupBy("id").agg(*[F.coalesce(F.sum(F.when(F.col("part") == j, F.col("held"))), F.lit(0)).alias(f"t{j}") for j in range(FINE // 16)])
+    table = ws.bucketed(table.select("id", F.array(*[f"t{j}" for j in range(FINE // 16)]).alias("trait")), "finer", "id")
+
+    def passes(pairs: DataFrame) -> DataFrame:
+        filled = lambda z: F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 2)).bitwiseOR(F.shiftrightunsigned(z.bitwiseOR(F.shiftrightunsigned(z, 2)), 1)).bitwiseAND(F.lit(0x1111111111111111)))
+        differ, used = F.lit(0), F.lit(0)
+        for j in range(FINE // 16):
+            x, y = F.col("x.trait")[j], F.col("y.trait")[j]
+            differ, used = differ + filled(x.bitwiseXOR(y)), used + filled(x.bitwiseOR(y))
+        odds = 1 - percent / 100
+        some = pairs.select("a", "b", "salt", differ.alias("differ"), used.alias("used"))
+        return some.where(F.col("differ") <= F.col("used") * odds + SLACK * F.sqrt(F.col("used") * odds * (1 - odds))).select("a", "b", "salt")
+
+    return Test(table, passes)
+
+
 def duplicate_lines(docs: DataFrame, ws: Workspace, id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """(doc, at, id, k2, component) of every line that isn't the first of its component; id and k2 identify the line."""
     keyed, lines = identified(ws, occurrences(docs, id, text))
@@ -122,21 +151,17 @@ def duplicate_lines(docs: DataFrame, ws: Workspace, id: str = "doc_id", text: st
     ws.drop("bands")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.select("a", "b", "salt", F.array_distinct(shingles(F.col("x.own"))).alias("x"), F.array_distinct(shingles(F.col("y.own"))).alias("y"))
-        common = F.size(F.array_intersect("x", "y"))
-        return both.where(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b", "salt")
-
-    def tokens(some: DataFrame) -> DataFrame:
-        return lines.join(some, "id").select("id", F.explode(F.array_distinct(shingles(F.col("own")))).alias("token"))
+        both = pairs.select("a", "b", "salt", shingles(F.col("x.own")).alias("x"), shingles(F.col("y.own")).alias("y"))
+        return both.where(F.size(F.array_intersect("x", "y")) * 100 >= F.size(F.array_union("x", "y")) * percent).select("a", "b", "salt")
 
-    linked = link_buckets(ws, live, [Test(marks, near), Test(lines, verify)], percent, tokens)
+    linked = link_buckets(ws, live, [Test(marks, near), Test(lines, verify)], finer=lambda ids: finer(ws, lines, ids, percent))
     places = keyed.select("doc", "at", "id", "k2")
     if linked is None:
         placed = places.withColumn("component", F.col("id"))
     else:
         placed = places.join(linked, F.col("id") == F.col("node"), "left").select("doc", "at", "id", "k2", F.coalesce("component", "id").alias("component"))
     placed = ws.save(placed, "placed")
-    ws.drop("live", "lines", "parted", "traits", "buckets")
+    ws.drop("live", "lines", "parted", "traits", "finer", "buckets")
     first = placed.groupBy("component").agg(F.count("*").alias("n"), F.min("doc").alias("first_doc")).where("n > 1").drop("n")
     again = ws.save(placed.join(ws.save(first, "first"), "component"), "again")
     # within the first document, the first line
@@ -161,15 +186,15 @@ def line_report(docs: DataFrame, id: str = "doc_id", text: str = "text", percent
 def remove_duplicate_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """``docs`` with its columns, without lines that repeat an earlier one; documents that lose all their words go.
 
-    Nulls, repeats and an empty table as in ``line_report``. A line is removed where both its place and its hashes were
+    Nulls, repeats and an empty table as in ``line_report``. A line is removed where both its place and its hash were
     found, so rows that share an id are safe. Columns of any name pass through.
     """
     found = duplicate_lines(docs, Workspace(docs.sparkSession, "lines"), id, text, percent)
-    lost = found.groupBy("doc").agg(F.collect_set(F.struct("at", *[k.alias(n) for n, k in zip(("k1", "k2"), (F.col("id"), F.col("k2")), strict=True)])).alias("drops"))
+    lost = found.groupBy("doc").agg(F.collect_set(F.struct("at", "k2")).alias("drops"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     joined = whole.join(lost, F.col("row")[id].cast("long") == F.col("doc"), "left")
     own = F.col("row")[text]
-    gone = lambda line, i: F.struct(i.alias("at"), F.xxhash64(line).alias("k1"), F.xxhash64(F.lit(1), line).alias("k2"))
+    gone = lambda line, i: F.struct(i.alias("at"), F.xxhash64(F.lit(1), line).alias("k2"))
     kept = F.filter(F.split(own, "\n"), lambda line, i: ~F.array_contains("drops", gone(line, i)))
     out = joined.select("row", F.when(F.col("drops").isNull(), own).otherwise(F.array_join(kept, "\n")).alias("left"), F.col("drops").isNull().alias("whole"))
     out = out.where(F.col("whole") | (F.ltrim(F.regexp_replace("left", "\n", " "), F.lit(SPACE)) != ""))

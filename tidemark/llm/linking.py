@@ -1,11 +1,10 @@
 """Components of the true links inside candidate buckets, without all pairs of a bucket.
 
 Only connectivity is asked for, so two members that are known to be connected need no test. Each round takes one hub a
-bucket and tests its members against it; the hub and the members that it connects leave the work. Buckets that still hold
-many components after some rounds are parted by prefix filtering: of each member's tokens, rarest in the bucket first, so
-many are taken that two members with a link share one (for n tokens and a similarity of t: n - ceil(t n) + 1), and the
-buckets of these tokens go on in the place of the large one, with several hubs a round, until none is large. No link of a
-bucket is lost on the way, and no member ever meets more than LARGE others at once.
+bucket and tests its members against it; the hub, all whose links in the bucket are then known, and the members that it
+connects leave the work. Large buckets that still hold many components after some rounds take several hubs a round. No link
+of a bucket is lost, and no member meets more than LARGE others of a bucket at once; but a bucket of n members without links
+costs n * n / 2 tests in the end.
 
 A hub of any number of pairs is spread: its row is copied once for every SPREAD pairs, and each pair joins one copy.
 """
@@ -20,10 +19,10 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, components
 
-#: Rounds with one hub a bucket before large buckets are parted, and hubs of a bucket in each round from then on.
-STAR_ROUNDS, HUBS = 3, 16
+#: Rounds with one hub a bucket, and hubs of a bucket in each round from then on.
+STAR_ROUNDS, HUBS = 3, 64
 #: Members of several components from which a bucket is large.
-LARGE = 32
+LARGE = 100
 #: Pairs of a hub that one copy of its row serves.
 SPREAD = 1024
 
@@ -44,19 +43,21 @@ def tested(ws: Workspace, pairs: DataFrame, test: Test, name: str) -> DataFrame:
     return ws.save(test.passes(both.join(hubs, ["b", "salt"]).select("a", "b", "salt", "x", "y")), name)
 
 
-def link_buckets(ws: Workspace, members: DataFrame, tests: list[Test], percent: int, tokens: Callable[[DataFrame], DataFrame], label: str = "link") -> DataFrame | None:
+def link_buckets(ws: Workspace, members: DataFrame, tests: list[Test], label: str = "link", finer: Callable[[DataFrame], Test] | None = None) -> DataFrame | None:
     """Rows (node, component) for the members of components of two or more, or None if nothing links.
 
-    members: (bucket, id), read from a table. tests: those that a pair must pass, cheapest first. tokens: takes ids and
-    returns the distinct (id, token) of their sets. percent: the least similarity of a link.
+    members: (bucket, id), read from a table. tests: those that a pair must pass, cheapest first. finer: makes one
+    more test, before the last, for the ids that are left in buckets when several hubs a round begin.
     """
-    known, rounds, few, parted = None, 0, False, False
-    live, base = members.select("bucket", "id", F.col("id").alias("comp")), None
+    known, rounds, few = None, 0, False
+    live = members.select("bucket", "id", F.col("id").alias("comp"))
     while True:
-        rank = F.xxhash64("id", F.lit(rounds)) if rounds else F.col("id")
-        share = F.pmod(F.xxhash64("id", F.lit(-1)), F.lit(HUBS)) if parted else F.lit(0)
+        many = few or rounds >= STAR_ROUNDS
+        # the same order in all buckets, so that a pair of several meets in one round
+        rank = F.xxhash64("id", F.lit(min(rounds, STAR_ROUNDS))) if rounds else F.col("id")
+        share = F.pmod(F.xxhash64("id", F.lit(-1)), F.lit(HUBS)) if many else F.lit(0)
         hubs = live.groupBy("bucket", share.alias("share")).agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by("id", rank).alias("hub"), F.min_by("comp", rank).alias("hub_comp"), F.count("*").alias("n"))
-        if parted:
+        if many:
             whole = Window.partitionBy("bucket")
             hubs = hubs.select("bucket", F.min("low").over(whole).alias("low"), F.max("high").over(whole).alias("high"), "hub", "hub_comp", F.sum("n").over(whole).alias("n"))
         hubs = ws.save(hubs.where("low <> high").select("bucket", "hub", "hub_comp", "n"), f"{label}-hubs-{rounds}")
@@ -64,13 +65,9 @@ def link_buckets(ws: Workspace, members: DataFrame, tests: list[Test], percent:
         if not left:
             break
         large, mixed = most > LARGE, hubs.groupBy("bucket").agg(F.max("n").alias("n"))
-        if large and not parted and (few or rounds >= STAR_ROUNDS):
-            joined = live.join(mixed, "bucket")
-            small = joined.where(F.col("n") <= LARGE).select("bucket", "id", "comp")
-            live = ws.save(small.unionByName(prefixes(joined.where(F.col("n") > LARGE), tokens, percent)), f"{label}-parted")
-            parted, few = True, False
-            continue
-        last = not large and (few or parted or rounds >= STAR_ROUNDS)
+        last = many and not large
+        if large and many and finer:
+            tests, finer = [*tests[:-1], finer(live.join(mixed.select("bucket"), "bucket").select("id").distinct()), tests[-1]], None
         if last:
             joined = live.join(mixed, "bucket")
             x = joined.select("bucket", F.col("id").alias("a"), F.col("comp").alias("ca"))
@@ -87,7 +84,7 @@ def link_buckets(ws: Workspace, members: DataFrame, tests: list[Test], percent:
             known = components(ws, found.select("a", "b") if known is None else found.select("a", "b").union(known), f"{label}-comp-{rounds}")
         if last:
             break
-        few = n_found * 20 < n_asked  # hubs connect little more
+        few = few or n_found * 20 < n_asked  # hubs connect little more
         again = live.join(mixed.select("bucket"), "bucket").join(hubs.select("bucket", F.col("hub").alias("id")), ["bucket", "id"], "left_anti")
         if n_found:
             again = again.select("bucket", "id").join(known, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("comp"))
@@ -95,14 +92,3 @@ def link_buckets(ws: Workspace, members: DataFrame, tests: list[Test], percent:
         live = ws.save(again, f"{label}-live-{rounds}")
         ws.drop(f"{label}-hubs-{rounds - 1}", f"{label}-pairs-{rounds - 1}", f"{label}-live-{rounds - 1}", *[f"{label}-passed-{rounds - 1}-{k}" for k in range(len(tests))])
     return known
-
-
-def prefixes(large: DataFrame, tokens: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """(bucket, id, comp) of large buckets -> the same for the buckets of their members' prefix tokens."""
-    held = large.select("bucket", "id", "comp").join(tokens(large.select("id").distinct()), "id")
-    common = held.groupBy("bucket", "token").agg(F.count("*").alias("held_by")).where("held_by > 1")
-    counted = held.join(common, ["bucket", "token"], "left")
-    mine = Window.partitionBy("bucket", "id")
-    ranked = counted.withColumn("at", F.row_number().over(mine.orderBy(F.coalesce("held_by", F.lit(1)), "token"))).withColumn("size", F.count("*").over(mine))
-    taken = ranked.where((F.col("at") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1) & F.col("held_by").isNotNull())
-    return taken.select(F.xxhash64("bucket", "token").alias("bucket"), "id", "comp")

@@ -128,16 +128,6 @@ def similar(pairs: DataFrame, k: int, percent: int) -> DataFrame:
     return map_steps(pairs, ("text_a", "text_b"), make, "a long, b long, salt int")
 
 
-def members_of(texts: DataFrame, k: int) -> DataFrame:
-    """(id, text) -> (id, token): the distinct shingles of each text."""
-
-    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        group, values = shingle_sets(Texts(batch.column("text")), k)
-        return pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(group)), pa.array(values.view(np.int64))], ["id", "token"])
-
-    return map_steps(texts, "text", make, "id long, token long").distinct()
-
-
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, n_bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, kept.
 
@@ -165,10 +155,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k:
     def verify(pairs: DataFrame) -> DataFrame:
         return similar(pairs.select("a", "b", "salt", F.col("x.text").alias("text_a"), F.col("y.text").alias("text_b")), k, percent)
 
-    def tokens(some: DataFrame) -> DataFrame:
-        return members_of(texts.join(some, "id").select("id", "text"), k)
-
-    linked = link_buckets(ws, live, [Test(marks, _near(COORDINATES, percent)), Test(texts, verify)], percent, tokens)
+    linked = link_buckets(ws, live, [Test(marks, _near(COORDINATES, percent)), Test(texts, verify)])
     ws.drop("texts", "traits", "members", "buckets")
     out = signed.join(classes, key, "left").withColumn("rep", F.expr("case when size > 0 then coalesce(first, id) else id end"))
     if linked is not None:
