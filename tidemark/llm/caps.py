@@ -28,6 +28,10 @@ LIST, BUCKET, BLOCK = 32, 24, 1024
 TRIALS, MOST = 4096, 256
 
 
+#: Codewords of a block at most: the pairs of them are numbered by 32 bits. Up to 1.6 billion vectors of a label need fewer.
+WORDS = 46_340
+
+
 class Code:
     def __init__(self, dim: int, words: int, seed: int = 7):
         rng = np.random.Generator(np.random.PCG64([seed, dim, words]))
@@ -182,7 +186,7 @@ def near_duplicates(table: DataFrame, id: str = "vec_id", label: str = "label",
     source = table.select(F.col(id).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(embedding).alias("embedding"))
     able = source.where("id is not null and label is not null and embedding is not null")
     most = able.groupBy("label").count().agg(F.max("count")).first()[0] or 1
-    words = int(np.clip(np.sqrt(most * LIST / BUCKET), 16, 2048))
+    words = int(np.clip(np.sqrt(most * LIST / BUCKET), 16, WORDS))
     dims = [r[0] for r in able.select(F.size("embedding")).where(F.size("embedding") > 0).distinct().collect()]
     vectors = ws.save(coded(able, {dim: lists(dim, words, least) for dim in dims}), "coded").withColumn("key", F.sha2("vector", 256))
     classes = ws.save(vectors.groupBy("label", "key").agg(F.min("id").alias("first"), F.countDistinct("id").alias("weight")).where("weight > 1"), "classes")

@@ -22,6 +22,8 @@ from .common import map_steps
 
 #: Labelled pages that the weights come from, at most: those with the least hashes of their ids.
 SAMPLE = 300
+#: Bytes of a page that can be in that sample; longer ones are extracted like any other.
+SAMPLE_BYTES = 1 << 18
 #: Elements whose text isn't shown, elements without content, elements that end a block of text, and names
 #: of elements and of class, id and role words that mark a section as no article text.
 RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "title", "svg", "math", "canvas", "object", "select")
@@ -170,7 +172,7 @@ def main_text(pages: DataFrame, id: str = "page_id", url: str = "url", page: str
     """
     source = pages.select(F.col(id).cast("long").alias("id"), F.col(url).cast("string").alias("url"), F.col(page).alias("page"))
     ids = source.where("page is not null and id is not null").select("id").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).distinct()
-    some = source.join(F.broadcast(ids), "id").select("page").limit(SAMPLE).collect()  # ids first: few bytes a task reach the driver
+    some = source.join(F.broadcast(ids), "id").select("page").where(F.octet_length("page") <= SAMPLE_BYTES).limit(SAMPLE).collect()  # ids first: few bytes a task reach the driver
     weights = learn([x[0] for x in some])
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:

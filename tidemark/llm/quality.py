@@ -186,6 +186,7 @@ def judge(docs: DataFrame, trees: Trees, id: str = "doc_id", text: str = "text",
     Words are runs of characters other than ASCII white space, over the whole text. A null or empty text has no words and
     fails; so does any text of fewer than 10 words, or with over 20 % of its words in 5-word windows that it has twice or
     more. kept: it did not fail, and the trees give at least ``keep_from``. Repeated rows and null ids are judged as any.
+    An empty table gives an empty result; other columns aren't read.
     """
     bar = np.log(keep_from / (1 - keep_from))
 
@@ -199,7 +200,10 @@ def judge(docs: DataFrame, trees: Trees, id: str = "doc_id", text: str = "text",
 
 
 def keep_good(docs: DataFrame, trees: Trees, text: str = "text", keep_from: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with all their columns."""
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns.
+
+    Rows with a null or empty text go, repeated rows and null ids are judged as any, and an empty table stays one.
+    """
     bar = np.log(keep_from / (1 - keep_from))
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:

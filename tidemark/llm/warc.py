@@ -128,7 +128,7 @@ def write(pages: DataFrame, path: str, index: str, ws: Workspace, id: str = "pag
     """Bundles under ``path`` and the index (id, bundle, frame, offset) at ``index``.
 
     A null payload is an empty one. A row with a null id is a response without an id; rows that repeat an id are records
-    of their own. An empty table leaves a folder without bundles.
+    of their own. An empty table leaves a folder without bundles. Other columns aren't read, whatever their names.
     """
     source = pages.select(F.col(id).cast("long").alias("id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload), F.lit("")).cast("binary").alias("payload"))
 
