@@ -204,6 +204,24 @@ def test_synthetic_workload(spark):
     assert df.count() == 500 and df.where("latency_ms < 1 or error_count > request_count").count() == 0
     assert sorted(map(str, df.collect())) == sorted(map(str, synthetic.requests(spark, 500).collect()))
     assert synthetic.grid(spark, "2026-01-01", "2026-01-02", "6 hours", a=["x", "y"]).count() == 10
+    assert [r.ts for r in synthetic.from_millis(spark.createDataFrame([(1767225600123,)], "ms long"), "ms").collect()] == [datetime(2026, 1, 1, 0, 0, 0, 123000)]
+
+
+def test_scenarios_change_incidents_only(spark):
+    means = {}
+    for name in synthetic.SCENARIOS:
+        df = synthetic.requests(spark, 3600, "2026-01-01 14:00:00", scenario=name)
+        hit = df.withColumn("hit", F.minute("ts").between(20, 24)).groupBy("hit").agg(F.avg("request_count"), F.avg("latency_ms"), F.sum("error_count") / F.sum("request_count"))
+        means[name] = {r[0]: [float(x) for x in r[1:]] for r in hit.collect()}
+    base = means["normal"]
+    for name, factors in synthetic.SCENARIOS.items():
+        assert means[name][False] == base[False]
+        for got, before, factor, rel in zip(means[name][True], base[True], factors, (0.1, 0.1, 0.4), strict=True):  # errors are rounded down
+            assert got == pytest.approx(before * factor, rel=rel)
+    with pytest.raises(ValueError, match="none of"):
+        synthetic.requests(spark, 1, scenario="quiet")
+    states = from_samples(validated(synthetic.requests(spark, 300), synthetic.schema()), synthetic.schema(), "minute")
+    assert states.agg(F.sum("latency_ms.count")).first()[0] == 300
 
 
 def test_times_are_utc_instants_on_both_paths(spark):
