@@ -9,14 +9,15 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.levels import LEVELS, bucket, bucket_end
+from .functions.levels import LEVELS, PRESETS, bucket, bucket_end, preset_range
 from .custom import Variance
 from .operators import insight
 from .operators.rollup import cascade, from_samples, merge_states, roll_edge
-from .plans.query import Query, grouped, reads, run_on_samples, run_query, total, within
+from .plans.query import Query, grouped, nested, reads, run_on_samples, run_query, total, within
 from .plans.schema import RollupSchema
 from .sources.jsonl import from_json
 from .sources.store import RollupStore
+from .sources.synthetic import grid
 
 Made = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Made] = {}
@@ -411,6 +412,62 @@ def freshness(spark, sf_dir):
     return store.freshness().select("level", "newest", "stale", F.col("last_sweep").isNotNull().alias("swept"))
 
 
+@query(" union all ".join(f"select '{x}' as level, min(date_trunc('{x}', ts)) as first_start, max(date_trunc('{x}', ts) + interval 1 {x}) as last_end from events" for x in LEVELS))
+def bucket_bounds_all(spark, sf_dir):
+    out = None
+    for level in LEVELS:
+        start = bucket("ts", level)
+        one = table(spark, sf_dir, "events").agg(F.min(start).alias("first_start"), F.max(bucket_end(start, level)).alias("last_end")).select(F.lit(level).alias("level"), "first_start", "last_end")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query("select ts, region, service from (select unnest(generate_series(timestamp '2026-01-01', timestamp '2026-01-04', interval 6 hour)) as ts), (values ('us-east'), ('us-west')) as r(region), (values ('api'), ('auth'), ('search')) as s(service)")
+def demo_grid(spark, sf_dir):
+    return grid(spark, "2026-01-01", "2026-01-04", "6 hours", region=["us-east", "us-west"], service=["api", "auth", "search"])
+
+
+@query(f"with g as (select date_trunc('hour', ts) as bucket_start, event_type, round(sum(value), 4) as s from events where date_trunc('hour', ts) >= timestamp '{S}' and date_trunc('hour', ts) < timestamp '{E}' group by 1, 2) select bucket_start, count(*) as n_groups, min(event_type) as first_group, arg_min(s, event_type) as first_sum from g group by 1")
+def nested_buckets(spark, sf_dir):
+    rows = nested(_events(spark, sf_dir, group_by=["event_type"]), ["event_type"])
+    first = F.get("groups", F.lit(0))
+    return rows.select("bucket_start", F.size("groups").cast("bigint").alias("n_groups"), F.get(first["dimensions"], F.lit(0)).alias("first_group"), first["values"]["sum_value"].alias("first_sum"))
+
+
+_NOW = datetime(2024, 3, 1, 12, 34, 56)
+
+
+@query(f"select preset, timestamp '{_NOW}' - span as range_start, timestamp '{_NOW}' as range_end, timestamp '{_NOW}' - span - span as prior_start, level from (values ('1h', interval 1 hour, 'minute'), ('24h', interval 24 hour, 'hour'), ('7d', interval 168 hour, 'hour'), ('30d', interval 720 hour, 'day'), ('90d', interval 2160 hour, 'day'), ('1y', interval 8760 hour, 'month')) as p(preset, span, level)")
+def preset_ranges(spark, sf_dir):
+    rows = []
+    for preset in PRESETS:
+        start, end, prior, level = preset_range(preset, _NOW)
+        rows.append((preset, start, end, prior, level))
+    return spark.createDataFrame(rows, "preset string, range_start timestamp_ntz, range_end timestamp_ntz, prior_start timestamp_ntz, level string")
+
+
+@query(f"select event_type as label, round(sum(value), 2) as total from events where date_trunc('hour', ts) >= timestamp '{S}' and date_trunc('hour', ts) < timestamp '{E}' group by 1")
+def series_totals(spark, sf_dir):
+    rows = insight.dense(_events(spark, sf_dir, group_by=["event_type"]), "hour", S, E, ["event_type"], "sum_value")
+    return insight.series_total(rows).select("label", F.round("total", 2).alias("total"))
+
+
+@query(_series())
+def explorer_query(spark, sf_dir):
+    """Filters without members are left out."""
+    states = _hours(spark, sf_dir, S, E)
+    return rounded(insight.explore(states, PLAIN, Query("hour", S, E, ALL, {"event_type": []}, ["event_type"])))
+
+
+@query("select date_trunc('day', ts) as bucket_start, event_type, count(*) as n, min(value) as low, max(value) as high from events group by all")
+def digest_merged(spark, sf_dir):
+    """Sketches of two disjoint sets of samples, united by level after level."""
+    a, b = (from_samples(x, SKETCHED, "hour") for x in _cut(spark, sf_dir))
+    both = merge_states(a.unionByName(b).withColumn("bucket_start", bucket("bucket_start", "day")), SKETCHED, ["bucket_start", "event_type"])
+    ends = [{"measure": "value", "aggregate": "tdigest", "quantile": q, "as": n} for q, n in ((0, "low"), (1, "high"))]
+    return both.select("bucket_start", "event_type", F.col("value.tdigest.count").alias("n"), *reads(SKETCHED, ends))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     states = from_samples(table(spark, sf_dir, "events"), PLAIN, "hour")
     return rounded(run_query(states, PLAIN, Query("hour", datetime(2024, 1, 1), datetime(2024, 2, 1), ALL, group_by=["event_type"])))
