@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from .common import Workspace, components
 
 #: Rounds with one hub a bucket, and hubs of a bucket in each round from then on.
-STAR_ROUNDS, HUBS = 3, 64
+STAR_ROUNDS, HUBS = 3, 256
 #: Members of several components from which a bucket is large.
-LARGE = 100
+LARGE = 256
 #: Pairs of a hub that one copy of its row serves.
 SPREAD = 1024
 
