@@ -274,15 +274,11 @@ def test_whole_lines_are_brute_force(spark):
     assert {r.doc_id for r in docs.join(lines.remove_duplicate_lines(docs), "doc_id", "left_anti").collect()} == want
 
 
-@pytest.mark.parametrize("fine", [False, True])
-def test_large_mixed_buckets_lose_no_link(spark, monkeypatch, fine):
-    from tidemark.llm import linking
-
-    monkeypatch.setattr(linking, "LARGE", 12)
-    monkeypatch.setattr(linking, "HUBS", 16)
-    monkeypatch.setattr(linking, "STAR_ROUNDS", 1)
-    if not fine:
-        monkeypatch.setattr(lines, "finer", lambda ws, table, ids, percent: linking.Test(table, lambda pairs: pairs.select("a", "b", "salt")))
+@pytest.mark.parametrize("members, listed", [(1024, 16), (12, 16), (12, 2)])
+def test_large_mixed_buckets_lose_no_link(spark, monkeypatch, members, listed):
+    monkeypatch.setattr(lines, "MEMBERS", members)
+    monkeypatch.setattr(lines, "HUBS", 4)
+    monkeypatch.setattr(lines, "LISTED", listed)
     rng = np.random.default_rng(31)
     base = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "mnprs"]
     texts = []
@@ -299,9 +295,7 @@ def test_large_mixed_buckets_lose_no_link(spark, monkeypatch, fine):
 
 
 def test_lines_whose_first_hashes_are_equal(spark, monkeypatch):
-    from pyspark.sql import functions as F
-
-    monkeypatch.setattr(lines, "keys", lambda line="line": (F.length(line).cast("long"), F.xxhash64(line)))
+    monkeypatch.setattr(lines, "keys", lambda texts, starts, ends: ((ends - starts).astype(np.uint64), texts.spans(starts, ends)))
     rows = [(1, "abcdefgh\nzyxwvuts\nother line"), (2, "abcdefgh\nqwertyui"), (3, "zyxwvuts")]
     out = lines.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.removed_lines for r in out} == {2: [0], 3: [0]}

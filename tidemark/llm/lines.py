@@ -1,174 +1,342 @@
-"""Operator 9 (DataFrame functions only): fuzzy line dedup by MinHash.
+"""Operator 9: fuzzy line dedup by MinHash.
 
 A line's set holds the hashes of its character shingles at every position, of the line in lower case without white space
-at its ends. Distinct lines are one row of a table bucketed by their id, which every later step joins in place: texts are
-shuffled once. One-permutation MinHash deals a line's shingles to bins and keeps the least of each; ROWS bins are a band,
-so that one hash aggregate by (line, band) yields the bands themselves. Lines that share a band are compared by their
-signatures, then by the exact Jaccard similarity of their sets, and distributed union-find over the links leaves one line
-per component: the first by (document, line).
+at its ends. One-permutation MinHash deals the shingles to bins and keeps the least of each; ROWS bins are a band, and
+lines that share a band are a bucket. Buckets are compared in units of bounded size: a unit holds the lines of one bucket,
+or one chunk of a large bucket together with hubs that all its chunks see. A unit's links are decided by the exact Jaccard
+similarity of the sets, and it returns a spanning forest of them, never its pairs. Where chunks of a large bucket are still
+not connected by the components of all links, the members outside the bucket's largest component meet every other
+member. Distributed union-find leaves one line per component: the first by (document, line).
+
+The functions of this module that make and compare sets take Arrow batches: as DataFrame functions alone they cost more
+than the limits allow (see the README).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
-from .linking import Test, link_buckets
+from .common import STEP_BYTES, TEXT_ROWS, Workspace, components, map_steps
+from .words import U, Texts, mix
 
 #: Characters of a shingle. A pair at similarity 0.8 shares none of 12 bands of 4 with probability (1 - 0.8 ** 4) ** 12 = 0.0018.
 WIDTH, BANDS, ROWS = 6, 12, 4
-#: Bins that may differ in a pair that is still compared: more than 26 of 48 differ at similarity 0.8 with a probability below 1e-7.
-DIFFER = 26
-#: Bins of the sketch that members of large mixed buckets get, 16 of 4 bits in an integer, and standard deviations by which those
-#: that differ may exceed what is expected at the least similarity (beyond with a probability below 1e-8).
-FINE, SLACK = 384, 6
+#: Members and shingles of a unit on average, and hubs that the chunks of one bucket share.
+MEMBERS, SHINGLES, HUBS = 1024, 1 << 20, 64
+#: Lines of a unit up to which its pairs are listed with those of other units; larger ones are products of matrices.
+LISTED = 16
+#: Rows of one step, and columns of a matrix.
+_STEP_ROWS, _COLUMNS = 1 << 15, 2048
+_EMPTY = np.uint32(0xFFFFFFFF)
 #: The white space that parts words.
 SPACE = " \t\n\x0b\f\r"
 
 
-def shingles(own: Column) -> Column:
-    """The shingles of a line at every position, repeats included; a shorter line is one shingle. The characters take four bytes each, so each is cut out in constant time."""
-    cut = lambda wide: F.transform(places(wide), lambda i: hashed(wide, i))
-    return F.flatten(F.transform(F.array(F.encode(own, "UTF-32")), cut))
-
-
-def places(wide: Column) -> Column:
-    return F.sequence(F.lit(0), F.greatest((F.octet_length(wide) / 4).cast("int") - WIDTH, F.lit(0)))
-
-
-def hashed(wide: Column, place: Column) -> Column:
-    return F.xxhash64(F.substring(wide, place * 4 + 1, F.lit(4 * WIDTH)))
-
-
-def folded(line: Column) -> Column:
-    """The line in lower case, without white space at its ends."""
-    own = F.ltrim(F.lower(line), F.lit(SPACE))
-    ends = F.lit(False)
-    for c in SPACE:
-        ends = ends | F.endswith(own, F.lit(c))
-    return F.when(ends, F.rtrim(own, F.lit(SPACE))).otherwise(own)
-
-
-def occurrences(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """(doc, at, line), a row per line with a word of the documents with an id."""
-    every = docs.where(F.col(f"`{id}`").isNotNull()).select(F.col(f"`{id}`").cast("long").alias("doc"), F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("at", "line"))
-    return every.where(F.ltrim("line", F.lit(SPACE)) != "")
-
-
-def keys(line: str = "line") -> tuple[Column, Column]:
-    """A line's two hashes, 128 bits together."""
-    return F.xxhash64(line), F.xxhash64(F.lit(1), line)
-
-
-def identified(ws: Workspace, every: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``every`` (line, ...) with an id, and a bucketed table (id, own) of distinct lines.
-
-    The id is the first hash of a line, but the second one where several lines have the same first one.
+def keys(texts: Texts, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each span, 128 bits together."""
+    return texts.spans(starts, ends), texts.spans(starts, ends, second=True)
+
+
+def line_spans(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text index, place in the text, start, end) of each line with a word, without white space at its ends."""
+    feeds = np.flatnonzero(texts.data == 10)
+    text = np.concatenate([np.arange(texts.n), np.searchsorted(texts.offsets, feeds, "right") - 1])
+    starts = np.concatenate([texts.offsets[:-1], feeds + 1])
+    order = np.lexsort((starts, text))
+    text, starts = text[order], starts[order]
+    place = np.arange(len(text)) - np.searchsorted(text, text)
+    ends = texts.offsets[text + 1].copy()
+    inner = np.flatnonzero(text[1:] == text[:-1])
+    ends[inner] = starts[inner + 1] - 1
+    first, after = np.searchsorted(texts.starts, starts), np.searchsorted(texts.starts, ends)
+    some = np.flatnonzero(after > first)
+    return text[some], place[some], texts.starts[first[some]], texts.ends[after[some] - 1]
+
+
+def shingles(texts: Texts, heads: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(span, shingle hash) at every position, repeats included, and the positions of each span; a shorter span is one shingle. heads: where characters begin, and the end."""
+    low, high = np.searchsorted(heads, starts), np.searchsorted(heads, ends)
+    n = np.maximum(high - low - WIDTH + 1, 1)
+    span = np.repeat(np.arange(len(starts)), n)
+    at = np.arange(len(span)) - np.repeat(np.cumsum(n) - n - low, n)
+    return span, texts.spans(heads[at], heads[np.minimum(at + WIDTH, high[span])]), n
+
+
+def character_heads(texts: Texts) -> np.ndarray:
+    return np.append(np.flatnonzero((texts.data & 0xC0) != 0x80), len(texts.data))
+
+
+def band_keys(span: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A key of each band of n sets, and whether the band holds a shingle at all."""
+    bins = np.full(n * BANDS * ROWS, _EMPTY, np.uint32)
+    place = (hashes >> U(8)).astype(np.uint32) % np.uint32(BANDS * ROWS)
+    np.minimum.at(bins, span * (BANDS * ROWS) + place, (hashes >> U(32)).astype(np.uint32))
+    bins = bins.reshape(n, BANDS, ROWS)
+    out = np.zeros((n, BANDS), U) + np.arange(BANDS, dtype=U)
+    for r in range(ROWS):
+        out = mix(out * U(0x9E3779B97F4A7C15) + bins[:, :, r])
+    return out, (bins != _EMPTY).any(axis=2)
+
+
+def slices(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices of a list of sizes, each of at most ``most`` in sum or of one item."""
+    ends = np.cumsum(sizes)
+    start = 0
+    while start < len(sizes):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+        yield slice(start, stop)
+        start = stop
+
+
+def describe(df: DataFrame) -> DataFrame:
+    """(doc, row, text in lower case) -> (doc, row, at, id, k2, size, bands), a row per line with a word; bands without a shingle are null."""
+    hashed = keys
+
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = Texts(batch.column("text"))
+        heads = character_heads(texts)
+        text, place, starts, ends = line_spans(texts)
+        id, k2 = hashed(texts, starts, ends)
+        made, held, size = [np.zeros((0, BANDS), U)], [np.zeros((0, BANDS), bool)], [np.zeros(0, np.int64)]
+        for part in slices(ends - starts, STEP_BYTES):
+            span, hashes, n = shingles(texts, heads, starts[part], ends[part])
+            for out, x in zip((made, held), band_keys(span, hashes, len(n))):
+                out.append(x)
+            size.append(n)
+        flat = pa.array(np.concatenate(made).view(np.int64).ravel(), mask=~np.concatenate(held).ravel())
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(text) + 1, dtype=np.int32) * BANDS), flat)
+        rows = pa.array(text)
+        own = [pa.array(place.astype(np.int32)), pa.array(id.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(np.concatenate(size)), lists]
+        return pa.RecordBatch.from_arrays([batch.column("doc").take(rows), batch.column("row").take(rows), *own], ["doc", "row", "at", "id", "k2", "size", "bands"])
+
+    return map_steps(df, "text", make, "doc long, row long, at int, id long, k2 long, size long, bands array<long>")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """(text in lower case, places: array of (at, id)) -> (id, own): the lines at those places."""
+
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, own = [], []
+        for text, places in zip(batch.column("text"), batch.column("places")):
+            lines = text.as_py().split("\n")
+            for x in places.as_py():
+                ids.append(x["id"])
+                own.append(lines[x["at"]].strip(SPACE))
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(own, pa.string())], ["id", "own"])
+
+    return map_steps(df.select("text", "places"), "text", make, "id long, own string")
+
+
+class Sets:
+    """The sets of the rows of an Arrow column of lines: elements lists row << 48 | 48 bits of a shingle's hash, in order."""
+
+    def __init__(self, own: pa.Array):
+        texts = Texts(own)
+        heads, found = character_heads(texts), []
+        for part in slices(np.diff(texts.offsets), STEP_BYTES):
+            span, hashes, _ = shingles(texts, heads, texts.offsets[:-1][part], texts.offsets[1:][part])
+            x = np.sort(((span + part.start).astype(U) << U(48)) | (hashes >> U(16)))
+            found.append(x[np.append(True, x[1:] != x[:-1])])
+        self.elements = np.concatenate(found)
+        self.bounds = np.searchsorted(self.elements, np.arange(texts.n + 1).astype(U) << U(48))
+        self.sizes = np.diff(self.bounds)
+
+    def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index into rows, 48 bits of a hash) of the sets of some rows."""
+        n = self.sizes[rows]
+        index = np.repeat(np.arange(len(rows)), n)
+        at = np.arange(len(index)) + np.repeat(self.bounds[:-1][rows] - (np.cumsum(n) - n), n)
+        return index, self.elements[at] & U((1 << 48) - 1)
+
+    def links(self, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+        """Whether rows a and b are similar, pair by pair."""
+        out = np.minimum(self.sizes[a], self.sizes[b]) * 100 >= np.maximum(self.sizes[a], self.sizes[b]) * percent
+        todo = np.flatnonzero(out)
+        for part in slices(self.sizes[a[todo]] + self.sizes[b[todo]], STEP_BYTES):
+            for k in range(part.start, part.stop, _STEP_ROWS):
+                some = todo[k : min(k + _STEP_ROWS, part.stop)]
+                both = [(index.astype(U) << U(48)) | x for index, x in (self.of(a[some]), self.of(b[some]))]
+                x = np.sort(np.concatenate(both))
+                shared = np.bincount((x[1:][x[1:] == x[:-1]] >> U(48)).astype(np.int64), minlength=len(some))
+                out[some] = shared * 100 >= percent * (self.sizes[a[some]] + self.sizes[b[some]] - shared)
+        return out
+
+    def product(self, rows: np.ndarray, left: np.ndarray, percent: int) -> np.ndarray:
+        """Whether the rows at ``left`` (indices into rows) are similar to each of rows, by products of incidence matrices over the shingles that several have."""
+        index, x = self.of(rows)
+        _, code, n = np.unique(x, return_inverse=True, return_counts=True)
+        column = np.cumsum(n > 1) - 1
+        some = np.flatnonzero(n[code] > 1)
+        index, code = index[some], column[code[some]]
+        order = np.argsort(code, kind="stable")
+        index, code = index[order], code[order]
+        shared = np.zeros((len(left), len(rows)), np.float64)
+        for start in range(0, int(code[-1]) + 1 if len(code) else 0, _COLUMNS):
+            part = slice(*np.searchsorted(code, [start, start + _COLUMNS]))
+            matrix = np.zeros((len(rows), _COLUMNS), np.float32)
+            matrix[index[part], code[part] - start] = 1
+            shared += matrix[left] @ matrix.T
+        sizes = self.sizes[rows]
+        return shared * 100 >= percent * (sizes[left][:, None] + sizes[None, :] - shared)
+
+
+def forest(links: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """For each of n nodes the least of its component, where links[i, j] says whether left[i] and j are linked."""
+    n = links.shape[1]
+    label = np.arange(n)
+    while True:
+        least = np.where(links, label[None, :], n).min(axis=1, initial=n)
+        before, label = label, label.copy()
+        np.minimum.at(label, left, least)
+        label = np.minimum(label, np.where(links, label[left][:, None], n).min(axis=0, initial=n))
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
+def solve(batch: pa.RecordBatch, percent: int, most: int) -> pa.RecordBatch:
+    """Rows (unit, id, comp, asks, own) of whole units, sorted by unit -> links (a, b) that connect what is connected in each unit.
+
+    Pairs whose ``comp`` is equal are known to be connected. In a unit of more than ``most`` rows only
+    those that ask meet the others.
+    """
+    unit, id, comp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("unit", "id", "comp"))
+    asks = batch.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+    sets = Sets(batch.column("own"))
+    begins = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
+    n = np.diff(np.append(begins, len(unit)))
+    listed = []
+    for size in range(2, most + 1):
+        i, j = np.triu_indices(size, 1)
+        at = begins[n == size][:, None]
+        listed.append(np.stack([(at + i).ravel(), (at + j).ravel()]))
+    i, j = np.concatenate(listed, axis=1)
+    other = comp[i] != comp[j]
+    i, j = i[other], j[other]
+    a, b = np.minimum(id[i], id[j]), np.maximum(id[i], id[j])
+    order = np.lexsort((b, a))
+    a, b, i, j = a[order], b[order], i[order], j[order]
+    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+    a, b, i, j = a[new], b[new], i[new], j[new]
+    linked = sets.links(i, j, percent)
+    heads, tails = [a[linked]], [b[linked]]
+    for start, size in zip(begins[n > most], n[n > most]):
+        rows = np.arange(start, start + size)
+        left = np.flatnonzero(asks[rows])
+        label = forest(sets.product(rows, left, percent), left)
+        more = np.flatnonzero(label != np.arange(size))
+        heads.append(id[rows[label[more]]])
+        tails.append(id[rows[more]])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads)), pa.array(np.concatenate(tails))], ["a", "b"])
+
+
+def compare(ws: Workspace, rows: DataFrame, lines: DataFrame, percent: int, name: str) -> DataFrame:
+    """The links (a, b) within the units of ``rows`` (unit, id, comp, asks); lines: (id, own)."""
+    most = LISTED
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.nbytes
+            if size > STEP_BYTES or sum(x.num_rows for x in held) > _STEP_ROWS:
+                whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                unit = whole.column("unit").to_numpy()
+                last = int(np.searchsorted(unit, unit[-1]))  # rows are sorted by unit
+                if last:
+                    yield solve(whole.slice(0, last), percent, most)
+                held = [whole.slice(last)]
+                size = held[0].nbytes
+        if held:
+            yield solve(pa.Table.from_batches(held).combine_chunks().to_batches()[0], percent, most)
+
+    texts = rows.join(lines, "id").select("unit", "id", "comp", "asks", "own")
+    found = texts.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long")
+    return ws.save(found, name, TEXT_ROWS)
+
+
+def chunks(total: Column, n: Column) -> Column:
+    """Units among which n lines of ``total`` shingles are dealt."""
+    return F.greatest(F.ceil(n / MEMBERS), F.ceil(total / SHINGLES)).cast("int")
+
+
+def dealt(salt: int, k: str | Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(salt), "id"), k).cast("int")
+
+
+def link_lines(ws: Workspace, live: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """(node, component) for members of components of two or more. live: (bucket, id, size); lines: (id, own)."""
+    stats = live.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("total")).select("bucket", "n", chunks(F.col("total"), F.col("n")).alias("k"))
+    live = ws.save(live.join(stats, "bucket"), "dealt")
+    unit = F.xxhash64("bucket", "chunk").alias("unit")
+    members = live.select("bucket", "id", dealt(0, "k").alias("chunk"))
+    hubs = live.where("k > 1").where(dealt(1, F.ceil(F.col("n") / HUBS)) == 0).select("bucket", "id", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("chunk"))
+    rows = members.union(hubs).select(unit, "id", F.col("id").alias("comp"), F.lit(True).alias("asks"))
+    found = compare(ws, rows, lines, percent, "links")
+    known = components(ws, found, "first")
+    large = live.where("k > 1")
+    if not large.limit(1).count():
+        return known
+    # in large buckets, all outside the largest component meet all
+    large = ws.save(large.join(known, F.col("id") == F.col("node"), "left").select("bucket", "id", "size", "k", F.coalesce("component", "id").alias("comp")), "large")
+    each = large.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    mixed = ws.save(each.groupBy("bucket").agg(F.max_by("comp", "n").alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts"), "mixed")
+    large = large.join(mixed, "bucket")
+    asking = large.where("comp <> main")
+    blocks = ws.save(asking.groupBy("bucket").agg(chunks(F.sum("size"), F.count("*")).alias("m")), "blocks")
+    unit = F.xxhash64("bucket", "block", "chunk").alias("unit")
+    every = lambda k, name: F.explode(F.sequence(F.lit(0), F.col(k) - 1)).alias(name)
+    asking = asking.join(blocks, "bucket").select("bucket", "id", "comp", dealt(2, "m").alias("block"), every("k", "chunk")).select(unit, "id", "comp", F.lit(True).alias("asks"))
+    asked = large.join(blocks, "bucket").select("bucket", "id", "comp", dealt(0, "k").alias("chunk"), every("m", "block")).select(unit, "id", "comp", F.lit(False).alias("asks"))
+    more = compare(ws, asking.union(asked), lines, percent, "more")
+    return components(ws, found.union(more), "second")
+
+
+def identified(ws: Workspace, docs: DataFrame, id: str, text: str) -> DataFrame:
+    """(doc, row, at, id, size, bands) of the lines with a word of documents with an id.
+
+    row is a hash of the document's text. id is the first hash of a line, but the second one where several lines have the
+    same first one.
     """
-    first, second = keys()
-    keyed = every.withColumn("id", first).withColumn("k2", second)
-    for name in ("lines", "parted"):
-        table = keyed.groupBy("id").agg(F.min("k2").alias("low"), F.max("k2").alias("high"), F.any_value("line").alias("line"))
-        table = ws.bucketed(table.select("id", "low", "high", folded(F.col("line")).alias("own")), name, "id")
-        same = table.where("low <> high").select(F.col("id").alias("same"))
-        if name == "parted" or not same.limit(1).count():
-            return keyed, table.select("id", "own")
-        ws.drop(name)
-        same = ws.save(keyed.groupBy("id").agg(F.min("k2").alias("low"), F.max("k2").alias("high")).where("low <> high").select(F.col("id").alias("same")), "same")
-        joined = keyed.join(same, F.col("id") == F.col("same"), "left")
-        keyed = joined.withColumn("id", F.when(F.col("same").isNull(), F.col("id")).otherwise(F.col("k2"))).drop("same")
-    raise AssertionError
-
-
-def signed(lines: DataFrame) -> DataFrame:
-    """(id, own), bucketed by id -> (id, band, n, b0 ..): the least hash of each bin of each band, and the positions of the line."""
-    wide = lines.select("id", F.encode("own", "UTF-32").alias("wide"))
-    rows = wide.select("id", "wide", F.explode(places(F.col("wide"))).alias("i"))
-    rows = rows.select("id", (F.octet_length("wide") / 4).cast("int").alias("n"), hashed(F.col("wide"), F.col("i")).alias("h"))
-    rows = rows.select("id", "n", F.pmod(F.shiftright("h", 8), F.lit(BANDS)).cast("int").alias("band"), F.col("h").bitwiseAND(F.lit(ROWS - 1)).alias("row"), F.shiftright("h", 32).cast("int").alias("value"))
-    least = [F.min(F.when(F.col("row") == r, F.col("value"))).alias(f"b{r}") for r in range(ROWS)]
-    return rows.groupBy("id", "band").agg(F.max("n").alias("n"), *least)
-
-
-def traits(bands: DataFrame) -> DataFrame:
-    """(id, n, trait): 8 bits of each bin, 0 for an empty one, 8 bins an integer."""
-    rows = [F.coalesce(F.pmod(f"b{r}", F.lit(255)) + 1, F.lit(0)) for r in range(ROWS)]
-    held = rows[0].cast("long")
-    for r in range(1, ROWS):
-        held = held.bitwiseOR(F.shiftleft(rows[r].cast("long"), 8 * r))
-    halves = [F.sum(F.when(F.shiftright("band", 1) == j, F.when(F.pmod("band", F.lit(2)) == 0, held).otherwise(F.shiftleft(held, 32)))) for j in range(BANDS // 2)]
-    return bands.groupBy("id").agg(F.max("n").alias("n"), *[F.coalesce(x, F.lit(0)).alias(f"t{j}") for j, x in enumerate(halves)]).select("id", "n", F.array(*[f"t{j}" for j in range(BANDS // 2)]).alias("trait"))
-
-
-def near(pairs: DataFrame) -> DataFrame:
-    """The pairs whose signatures (n, trait) differ in few enough bins. An element that only one set has changes one bin at most, so short lines are judged exactly."""
-    differ, (x, y) = F.lit(0), (F.col("x"), F.col("y"))
-    for i in range(BANDS // 2):
-        z = x["trait"][i].bitwiseXOR(y["trait"][i])
-        for s in (4, 2, 1):
-            z = z.bitwiseOR(F.shiftrightunsigned(z, s))
-        differ += F.bit_count(z.bitwiseAND(F.lit(0x0101010101010101)))
-    some = pairs.select("a", "b", "salt", differ.alias("differ"), (x["n"] + y["n"]).alias("n"))
-    return some.where((F.col("differ") <= DIFFER) & (F.col("differ") * 9 <= F.col("n"))).select("a", "b", "salt")
-
-
-def finer(ws: Workspace, lines: DataFrame, ids: DataFrame, percent: int) -> Test:
-    """A test by FINE bins for some lines: enough to tell those that are just below the threshold from those at it."""
-    rows = lines.join(ids, "id").select("id", F.explode(shingles(F.col("own"))).alias("h")).select("id", F.xxhash64("h").alias("h"))
-    group = F.pmod(F.shiftright("h", 8), F.lit(FINE // 16)).cast("int")
-    rows = rows.select("id", group.alias("part"), F.col("h").bitwiseAND(F.lit(15)).alias("row"), F.shiftright("h", 32).cast("int").alias("value"))
-    parts = rows.groupBy("id", "part").agg(*[F.min(F.when(F.col("row") == r, F.col("value"))).alias(f"b{r}") for r in range(16)])
-    held = F.lit(0).cast("long")
-    for r in range(16):
-        held = held.bitwiseOR(F.shiftleft(F.coalesce(F.pmod(f"b{r}", F.lit(15)) + 1, F.lit(0)).cast("long"), 4 * r))
-    parts = parts.select("id", "part", held.alias("held"))
-    table = parts.groupBy("id").agg(*[F.coalesce(F.sum(F.when(F.col("part") == j, F.col("held"))), F.lit(0)).alias(f"t{j}") for j in range(FINE // 16)])
-    table = ws.bucketed(table.select("id", F.array(*[f"t{j}" for j in range(FINE // 16)]).alias("trait")), "finer", "id")
-
-    def passes(pairs: DataFrame) -> DataFrame:
-        filled = lambda z: F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 2)).bitwiseOR(F.shiftrightunsigned(z.bitwiseOR(F.shiftrightunsigned(z, 2)), 1)).bitwiseAND(F.lit(0x1111111111111111)))
-        differ, used = F.lit(0), F.lit(0)
-        for j in range(FINE // 16):
-            x, y = F.col("x.trait")[j], F.col("y.trait")[j]
-            differ, used = differ + filled(x.bitwiseXOR(y)), used + filled(x.bitwiseOR(y))
-        odds = 1 - percent / 100
-        some = pairs.select("a", "b", "salt", differ.alias("differ"), used.alias("used"))
-        return some.where(F.col("differ") <= F.col("used") * odds + SLACK * F.sqrt(F.col("used") * odds * (1 - odds))).select("a", "b", "salt")
-
-    return Test(table, passes)
+    source = docs.where(F.col(f"`{id}`").isNotNull()).select(F.col(f"`{id}`").cast("long").alias("doc"), F.xxhash64(F.col(f"`{text}`")).alias("row"), F.lower(F.col(f"`{text}`")).alias("text"))
+    found = ws.save(describe(source), "found", TEXT_ROWS)
+    same = ws.save(found.groupBy("id").agg(F.min("k2").alias("low"), F.max("k2").alias("high")).where("low <> high").select(F.col("id").alias("same")), "same")
+    if same.limit(1).count():
+        found = found.join(same, F.col("id") == F.col("same"), "left").withColumn("id", F.when(F.col("same").isNull(), F.col("id")).otherwise(F.col("k2")))
+        found = ws.save(found.select("doc", "row", "at", "id", "k2", "size", "bands"), "parted")
+        ws.drop("found")
+    return found.select("doc", "row", "at", "id", "size", "bands")
 
 
 def duplicate_lines(docs: DataFrame, ws: Workspace, id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
-    """(doc, at, id, k2, component) of every line that isn't the first of its component; id and k2 identify the line."""
-    keyed, lines = identified(ws, occurrences(docs, id, text))
-    bands = ws.bucketed(signed(lines), "bands", "id")
-    marks = ws.bucketed(traits(bands), "traits", "id")
-    mins = [f"b{r}" for r in range(ROWS)]
-    members = bands.select(F.xxhash64("band", *mins).alias("bucket"), "id")
+    """(doc, row, at, component) of every line that isn't the first of its component; row is a hash of its document's text."""
+    found = identified(ws, docs, id, text)
+    members = found.select(F.explode("bands").alias("bucket"), "id", "size").where("bucket is not null")
     shared = ws.save(members.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("bucket"), "buckets")
-    live = ws.save(members.join(shared, "bucket"), "live")
-    ws.drop("bands")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.select("a", "b", "salt", shingles(F.col("x.own")).alias("x"), shingles(F.col("y.own")).alias("y"))
-        return both.where(F.size(F.array_intersect("x", "y")) * 100 >= F.size(F.array_union("x", "y")) * percent).select("a", "b", "salt")
-
-    linked = link_buckets(ws, live, [Test(marks, near), Test(lines, verify)], finer=lambda ids: finer(ws, lines, ids, percent))
-    places = keyed.select("doc", "at", "id", "k2")
-    if linked is None:
-        placed = places.withColumn("component", F.col("id"))
-    else:
-        placed = places.join(linked, F.col("id") == F.col("node"), "left").select("doc", "at", "id", "k2", F.coalesce("component", "id").alias("component"))
+    live = ws.save(members.join(shared, "bucket").distinct(), "live")
+    ids = live.select("id").distinct()
+    # one place of each line that shares a bucket, and the text there
+    place = found.join(ids, "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc", "row", "at")).alias("p")).select("id", "p.*")
+    places = place.groupBy("doc", "row").agg(F.collect_list(F.struct("at", "id")).alias("places"))
+    source = docs.select(F.col(f"`{id}`").cast("long").alias("doc"), F.xxhash64(F.col(f"`{text}`")).alias("row"), F.lower(F.col(f"`{text}`")).alias("text"))
+    lines = ws.save(cut(source.join(places, ["doc", "row"])), "cut", TEXT_ROWS)
+    lines = ws.bucketed(lines.groupBy("id").agg(F.any_value("own").alias("own")), "lines", "id")
+    linked = link_lines(ws, live, lines, percent)
+    placed = found.join(linked, F.col("id") == F.col("node"), "left").select("doc", "row", "at", F.coalesce("component", "id").alias("component"))
     placed = ws.save(placed, "placed")
-    ws.drop("live", "lines", "parted", "traits", "finer", "buckets")
-    first = placed.groupBy("component").agg(F.count("*").alias("n"), F.min("doc").alias("first_doc")).where("n > 1").drop("n")
-    again = ws.save(placed.join(ws.save(first, "first"), "component"), "again")
-    # within the first document, the first line
-    top = ws.save(again.where("doc = first_doc").groupBy("component").agg(F.min("at").alias("first_at")), "top")
-    found = ws.save(again.join(top, "component").where("doc <> first_doc or at <> first_at").select("doc", "at", "id", "k2", "component"), "duplicates")
-    ws.drop("placed", "first", "again", "top")
-    return found
+    ws.drop("found", "parted", "live", "dealt", "cut", "lines", "buckets", "links", "large", "more")
+    first = placed.groupBy("component").agg(F.count("*").alias("n"), F.min(F.struct("doc", "at")).alias("first")).where("n > 1").select("component", "first")
+    again = placed.join(ws.save(first, "first-places"), "component")
+    out = ws.save(again.where("doc <> first.doc or at <> first.at").select("doc", "row", "at", "component"), "duplicates")
+    ws.drop("placed", "first-places")
+    return out
 
 
 def line_report(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
@@ -186,16 +354,15 @@ def line_report(docs: DataFrame, id: str = "doc_id", text: str = "text", percent
 def remove_duplicate_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """``docs`` with its columns, without lines that repeat an earlier one; documents that lose all their words go.
 
-    Nulls, repeats and an empty table as in ``line_report``. A line is removed where both its place and its hash were
-    found, so rows that share an id are safe. Columns of any name pass through.
+    Nulls, repeats and an empty table as in ``line_report``. A line is removed where both its place and its text's hash
+    were found, so rows that share an id are safe. Columns of any name pass through.
     """
     found = duplicate_lines(docs, Workspace(docs.sparkSession, "lines"), id, text, percent)
-    lost = found.groupBy("doc").agg(F.collect_set(F.struct("at", "k2")).alias("drops"))
+    lost = found.groupBy("doc", F.col("row").alias("hash")).agg(F.collect_set("at").alias("drops"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    joined = whole.join(lost, F.col("row")[id].cast("long") == F.col("doc"), "left")
     own = F.col("row")[text]
-    gone = lambda line, i: F.struct(i.alias("at"), F.xxhash64(F.lit(1), line).alias("k2"))
-    kept = F.filter(F.split(own, "\n"), lambda line, i: ~F.array_contains("drops", gone(line, i)))
+    joined = whole.join(lost, (F.col("row")[id].cast("long") == F.col("doc")) & (F.xxhash64(own) == F.col("hash")), "left")
+    kept = F.filter(F.split(own, "\n"), lambda line, i: ~F.array_contains("drops", i))
     out = joined.select("row", F.when(F.col("drops").isNull(), own).otherwise(F.array_join(kept, "\n")).alias("left"), F.col("drops").isNull().alias("whole"))
     out = out.where(F.col("whole") | (F.ltrim(F.regexp_replace("left", "\n", " "), F.lit(SPACE)) != ""))
     return out.select(*[(F.col("left") if c == text else F.col("row")[c]).alias(c) for c in docs.columns])

@@ -43,11 +43,10 @@ def tested(ws: Workspace, pairs: DataFrame, test: Test, name: str) -> DataFrame:
     return ws.save(test.passes(both.join(hubs, ["b", "salt"]).select("a", "b", "salt", "x", "y")), name)
 
 
-def link_buckets(ws: Workspace, members: DataFrame, tests: list[Test], label: str = "link", finer: Callable[[DataFrame], Test] | None = None) -> DataFrame | None:
+def link_buckets(ws: Workspace, members: DataFrame, tests: list[Test], label: str = "link") -> DataFrame | None:
     """Rows (node, component) for the members of components of two or more, or None if nothing links.
 
-    members: (bucket, id), read from a table. tests: those that a pair must pass, cheapest first. finer: makes one
-    more test, before the last, for the ids that are left in buckets when several hubs a round begin.
+    members: (bucket, id), read from a table. tests: those that a pair must pass, cheapest first.
     """
     known, rounds, few = None, 0, False
     live = members.select("bucket", "id", F.col("id").alias("comp"))
@@ -66,8 +65,6 @@ def link_buckets(ws: Workspace, members: DataFrame, tests: list[Test], label: st
             break
         large, mixed = most > LARGE, hubs.groupBy("bucket").agg(F.max("n").alias("n"))
         last = many and not large
-        if large and many and finer:
-            tests, finer = [*tests[:-1], finer(live.join(mixed.select("bucket"), "bucket").select("id").distinct()), tests[-1]], None
         if last:
             joined = live.join(mixed, "bucket")
             x = joined.select("bucket", F.col("id").alias("a"), F.col("comp").alias("ca"))

@@ -16,6 +16,7 @@ _INVERSE = pow(_BASE, -1, 2**64)
 _EXACT = _random.integers(0, 2**64, 256, dtype=np.uint64)
 _FOLDED = _EXACT.copy()
 _FOLDED[65:91] = _EXACT[97:123]
+_SECOND = _random.integers(0, 2**64, 256, dtype=np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers: dict[int, np.ndarray] = {}
@@ -77,15 +78,16 @@ class Texts:
         self.first_word = np.searchsorted(self.starts, self.offsets)
         self.n_words = np.diff(self.first_word)
         self.text_of = np.repeat(np.arange(self.n), self.n_words)
-        self._sums: dict[bool, np.ndarray] = {}
+        self._sums: dict[int, np.ndarray] = {}
 
-    def spans(self, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
-        """A hash of the bytes of each span; fold: A-Z count as a-z."""
-        if fold not in self._sums:
+    def spans(self, starts: np.ndarray, ends: np.ndarray, fold: bool = False, second: bool = False) -> np.ndarray:
+        """A hash of the bytes of each span; fold: A-Z count as a-z; second: another hash of the exact bytes."""
+        values = _SECOND if second else _FOLDED if fold else _EXACT
+        if id(values) not in self._sums:
             sums = np.zeros(len(self.data) + 1, U)
-            np.cumsum((_FOLDED if fold else _EXACT)[self.data] * _power(_BASE, len(self.data)), out=sums[1:])
-            self._sums[fold] = sums
-        sums = self._sums[fold]
+            np.cumsum(values[self.data] * _power(_BASE, len(self.data)), out=sums[1:])
+            self._sums[id(values)] = sums
+        sums = self._sums[id(values)]
         out = (sums[ends] - sums[starts]) * _power(_INVERSE, len(self.data) + 1)[starts]
         return mix(out + (ends - starts).astype(U))
 
