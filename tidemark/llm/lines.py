@@ -32,6 +32,8 @@ MEMBERS, SHINGLES, HUBS = 1024, 1 << 20, 64
 LISTED = 16
 #: Rows of one step, and columns of a matrix.
 _STEP_ROWS, _COLUMNS = 1 << 15, 2048
+#: Bytes of lines whose shingles are made at once: their arrays fit a processor's cache.
+_SLICE = 1 << 17
 _EMPTY = np.uint32(0xFFFFFFFF)
 #: The white space that parts words.
 SPACE = " \t\n\x0b\f\r"
@@ -103,7 +105,7 @@ def describe(df: DataFrame) -> DataFrame:
         text, place, starts, ends = line_spans(texts)
         id, k2 = hashed(texts, starts, ends)
         made, held, size = [np.zeros((0, BANDS), U)], [np.zeros((0, BANDS), bool)], [np.zeros(0, np.int64)]
-        for part in slices(ends - starts, STEP_BYTES):
+        for part in slices(ends - starts, _SLICE):
             span, hashes, n = shingles(texts, heads, starts[part], ends[part])
             for out, x in zip((made, held), band_keys(span, hashes, len(n))):
                 out.append(x)
@@ -138,7 +140,7 @@ class Sets:
     def __init__(self, own: pa.Array):
         texts = Texts(own)
         heads, found = character_heads(texts), []
-        for part in slices(np.diff(texts.offsets), STEP_BYTES):
+        for part in slices(np.diff(texts.offsets), _SLICE):
             span, hashes, _ = shingles(texts, heads, texts.offsets[:-1][part], texts.offsets[1:][part])
             x = np.sort(((span + part.start).astype(U) << U(48)) | (hashes >> U(16)))
             found.append(x[np.append(True, x[1:] != x[:-1])])
@@ -272,9 +274,13 @@ def dealt(salt: int, k: str | Column) -> Column:
 
 
 def link_lines(ws: Workspace, live: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """(node, component) for members of components of two or more. live: (bucket, id, size); lines: (id, own)."""
-    stats = live.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("total")).select("bucket", "n", chunks(F.col("total"), F.col("n")).alias("k"))
-    live = ws.save(live.join(stats, "bucket"), "dealt")
+    """(node, component) for members of components of two or more. live: (bucket, id, size); lines: (id, own).
+
+    Buckets with the same members, as a pair of near copies has in most bands, are one bucket.
+    """
+    whole = [F.min("id").alias("low"), F.max("id").alias("high"), F.bit_xor(F.xxhash64("id")).alias("mark"), F.count("*").alias("n"), F.sum("size").alias("total")]
+    stats = live.groupBy("bucket").agg(*whole).groupBy("low", "high", "mark", "n", "total").agg(F.min("bucket").alias("bucket"))
+    live = ws.save(live.join(stats.select("bucket", "n", chunks(F.col("total"), F.col("n")).alias("k")), "bucket"), "dealt")
     unit = F.xxhash64("bucket", "chunk").alias("unit")
     members = live.select("bucket", "id", dealt(0, "k").alias("chunk"))
     hubs = live.where("k > 1").where(dealt(1, F.ceil(F.col("n") / HUBS)) == 0).select("bucket", "id", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("chunk"))
@@ -320,7 +326,8 @@ def duplicate_lines(docs: DataFrame, ws: Workspace, id: str = "doc_id", text: st
     found = identified(ws, docs, id, text)
     members = found.select(F.explode("bands").alias("bucket"), "id", "size").where("bucket is not null")
     shared = ws.save(members.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("bucket"), "buckets")
-    live = ws.save(members.join(shared, "bucket").distinct(), "live")
+    # few buckets are shared: those of a partition are hashed, so that the members need no sort
+    live = ws.save(members.join(shared.hint("shuffle_hash"), "bucket").distinct(), "live")
     ids = live.select("id").distinct()
     # one place of each line that shares a bucket, and the text there
     place = found.join(ids, "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc", "row", "at")).alias("p")).select("id", "p.*")
