@@ -329,7 +329,7 @@ def duplicate_lines(docs: DataFrame, ws: Workspace, id: str = "doc_id", text: st
     live = ws.save(members.join(shared, "bucket").distinct(), "live")
     ids = live.select("id").distinct()
     # one place of each line that shares a bucket, and the text there
-    place = found.join(ids, "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc", "row", "at")).alias("p")).select("id", "p.*")
+    place = found.groupBy("id").agg(F.min(F.struct("doc", "row", "at")).alias("p")).join(ids, "id", "left_semi").select("id", "p.*")
     places = place.groupBy("doc", "row").agg(F.collect_list(F.struct("at", "id")).alias("places"))
     source = docs.select(F.col(f"`{id}`").cast("long").alias("doc"), F.xxhash64(F.col(f"`{text}`")).alias("row"), F.lower(F.col(f"`{text}`")).alias("text"))
     lines = ws.save(cut(source.join(places, ["doc", "row"])), "cut", TEXT_ROWS)
