@@ -81,6 +81,48 @@ def test_minhash_is_brute_force(docs, texts):
     assert minhash.near_duplicates(empty(docs)).count() == 0
 
 
+def word_set(text, k):
+    w = WORD.findall(fold(text))
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+
+
+@pytest.mark.parametrize("members", [1024, 40])
+def test_groups_near_the_threshold_make_no_pairs(spark, monkeypatch, members):
+    monkeypatch.setattr(lines, "MEMBERS", members)
+    written, save = Counter(), Workspace.save
+
+    def counted(ws, df, name, rows=None):
+        out = save(ws, df, name, rows)
+        written[name] = out.count()
+        return out
+
+    rng = np.random.default_rng(7)
+    texts = []
+    for _ in range(300):  # variants of one text: most pairs are below the threshold, and share bands
+        words = [f"w{i}" for i in range(200)]
+        for k in rng.choice(200, int(rng.integers(3, 16)), replace=False):
+            words[k] = f"x{rng.integers(10**9)}"
+        texts.append(" ".join(words))
+    sets = [word_set(t, 4) for t in texts]
+    links = [(a, b) for a in range(300) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = components(range(300), links)
+    assert len(set(want.values())) > 50 and len(links) < 300 * 299 / 2 / 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(Workspace, "save", counted)
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, k=4).collect()} == want
+    assert max(written.values()) <= 24 * 300, written
+
+
+def test_ids_with_several_texts_link_by_each(spark):
+    rng = np.random.default_rng(8)
+    base = [[f"{c}{i}" for i in rng.permutation(100)] for c in "abcd"]
+    near = [" ".join([*w[:97], "y"]) for w in base]
+    base = [" ".join(w) for w in base]
+    rows = [(1, base[0]), (2, near[0]), (2, base[1]), (3, near[1]), (3, base[2]), (3, base[2]), (4, near[2]), (4, near[1]), (5, base[3]), (6, "other words")]
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()
+    assert len(out) == len(rows) and {r.doc_id: r.component_id for r in out} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 6}
+
+
 def test_sketch_fills_and_estimates():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 500).astype(np.uint64)

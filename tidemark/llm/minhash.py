@@ -5,27 +5,25 @@ hashed one of t bins with a hashed value in [i, i + 1); in round t + i all eleme
 value, and a set is done as soon as no bin is empty. So all t coordinates fill within 2 t rounds, agree with probability
 equal to the Jaccard similarity and are concentrated about it as t independent ones, for O(n + t log t) hashes.
 
-Bands of coordinates give the candidates, and word-shingle sets of the whole texts decide.
+Bands of coordinates give the candidates, and word-shingle sets of the whole texts decide: buckets are compared in the units
+of bounded size of ``lines``, which return spanning links and never pairs.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, map_steps
-from .linking import Test, link_buckets
+from .common import STEP_BYTES, Workspace, map_steps
+from .lines import Sets, link_lines, slices
 from .words import U, Texts, distinct, mix
 
 #: A pair at similarity 0.8 shares none of 24 bands of 5 with probability (1 - 0.8 ** 5) ** 24 = 0.00007.
 BANDS, BAND_ROWS = 24, 5
-#: Coordinates of a sketch: the bands take the first ones, the estimate that spares hopeless tests takes all.
-COORDINATES = 384
-#: Standard deviations by which the coordinates that differ may exceed those of a pair at the threshold before it counts as no
-#: candidate: a pair at the threshold is beyond with a probability below 1e-8, against 7e-5 for sharing no band.
-SLACK = 6
 _VALUE_BITS = 44
 
 
@@ -67,35 +65,8 @@ def bands(sketches: np.ndarray, n_bands: int, rows: int) -> np.ndarray:
     return out
 
 
-def nibbles(sketches: np.ndarray) -> np.ndarray:
-    """Four bits of each coordinate, 16 coordinates an integer."""
-    n, t = sketches.shape
-    out = np.zeros((n, -(-t // 16)), U)
-    for i in range(t):
-        out[:, i // 16] |= (sketches[:, i] & U(15)) << U(4 * (i % 16))
-    return out
-
-
-def _near(t: int, percent: int):
-    """Pairs whose set sizes allow a link, and whose sketches differ in no more coordinates than a link's would, SLACK deviations included."""
-    odds = (1 - percent / 100) * 15 / 16
-    most = t * odds + SLACK * (t * odds * (1 - odds)) ** 0.5
-
-    def near(pairs: DataFrame) -> DataFrame:
-        differ, (x, y) = F.lit(0), (F.col("x"), F.col("y"))
-        for i in range(-(-t // 16)):
-            z = x["trait"][i].bitwiseXOR(y["trait"][i])
-            z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
-            z = z.bitwiseOR(F.shiftrightunsigned(z, 2))
-            differ += F.bit_count(z.bitwiseAND(F.lit(0x1111111111111111)))
-        sizes = F.least(x["size"], y["size"]) * 100 >= F.greatest(x["size"], y["size"]) * percent
-        return pairs.where(sizes & (differ <= most)).select("a", "b", "salt")
-
-    return near
-
-
-def describe(df: DataFrame, k: int, n_bands: int = BANDS, rows: int = BAND_ROWS, t: int = COORDINATES) -> DataFrame:
-    """(id, text) -> (id, size, key1, key2, bands, trait): the size of the shingle set, a 128-bit key of it, its band keys and its sketch in short."""
+def describe(df: DataFrame, k: int, n_bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
+    """(id, text) -> (id, size, key1, key2, bands): the size of the shingle set, a 128-bit key of it and its band keys."""
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = Texts(batch.column("text"))
@@ -107,25 +78,23 @@ def describe(df: DataFrame, k: int, n_bands: int = BANDS, rows: int = BAND_ROWS,
             sums = np.zeros(len(values) + 1, U)
             np.cumsum(mix(values + U(salt)), out=sums[1:])
             keys.append((sums[ends[1:]] - sums[ends[:-1]]).view(np.int64))
-        sketches = sketch(group, values, texts.n, t)
-        lists = [pa.ListArray.from_arrays(pa.array(np.arange(texts.n + 1, dtype=np.int32) * x.shape[1]), pa.array(x.view(np.int64).ravel())) for x in (bands(sketches, n_bands, rows), nibbles(sketches))]
-        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes.astype(np.int64)), pa.array(keys[0]), pa.array(keys[1]), *lists], ["id", "size", "key1", "key2", "bands", "trait"])
-
-    return map_steps(df, "text", make, "id long, size long, key1 long, key2 long, bands array<long>, trait array<long>")
-
+        made = bands(sketch(group, values, texts.n, n_bands * rows), n_bands, rows)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(texts.n + 1, dtype=np.int32) * n_bands), pa.array(made.view(np.int64).ravel()))
+        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes.astype(np.int64)), pa.array(keys[0]), pa.array(keys[1]), lists], ["id", "size", "key1", "key2", "bands"])
 
-def similar(pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b, salt, text_a, text_b) -> the (a, b, salt) whose shingle sets have 100 * intersection >= percent * union."""
+    return map_steps(df, "text", make, "id long, size long, key1 long, key2 long, bands array<long>")
 
-    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_sets(Texts(batch.column(c)), k) for c in ("text_a", "text_b")]
-        sizes = sum(np.bincount(g, minlength=batch.num_rows) for g, _ in sets)
-        group, _ = distinct(np.concatenate([g for g, _ in sets]), np.concatenate([v for _, v in sets]))
-        union = np.bincount(group, minlength=batch.num_rows)
-        keep = pa.array(((sizes - union) * 100 >= percent * union) & (union > 0))
-        return batch.select(["a", "b", "salt"]).filter(keep)
 
-    return map_steps(pairs, ("text_a", "text_b"), make, "a long, b long, salt int")
+def document_sets(own: pa.Array, k: int) -> Sets:
+    """The sets of k-word shingles of whole texts; equal 64-bit hashes have equal numbers."""
+    groups, values = [], []
+    sizes = np.diff(np.frombuffer(own.buffers()[1], np.int32)[own.offset : own.offset + len(own) + 1].astype(np.int64))
+    for part in slices(sizes, STEP_BYTES):
+        group, found = shingle_sets(Texts(own.slice(part.start, part.stop - part.start)), k)
+        groups.append(group + part.start)
+        values.append(found)
+    numbers = np.unique(np.concatenate(values), return_inverse=True)[1]
+    return Sets(numbers.astype(U), np.searchsorted(np.concatenate(groups), np.arange(len(own) + 1)))
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, n_bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
@@ -145,20 +114,16 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k:
     key = ["key1", "key2", "size"]
     classes = ws.save(some.groupBy(*key).agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "classes")
     first = some.join(classes, key, "left").where("first is null or id = first")
-    members = first.select(F.explode("bands").alias("bucket"), "id")
+    members = first.select(F.explode("bands").alias("bucket"), "id", "size")
     shared = ws.save(members.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("bucket"), "buckets")
-    live = ws.save(members.join(shared, "bucket").distinct(), "members")
+    live = ws.save(members.join(shared, "bucket").groupBy("bucket", "id").agg(F.max("size").alias("size")), "members")
     ids = live.select("id").distinct()
-    texts = ws.bucketed(source.join(ids, "id", "left_semi"), "texts", "id")
-    marks = ws.bucketed(first.select("id", "size", "trait").join(ids, "id", "left_semi").distinct(), "traits", "id")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        return similar(pairs.select("a", "b", "salt", F.col("x.text").alias("text_a"), F.col("y.text").alias("text_b")), k, percent)
-
-    linked = link_buckets(ws, live, [Test(marks, _near(COORDINATES, percent)), Test(texts, verify)])
-    ws.drop("texts", "traits", "members", "buckets")
+    # one partition an id, so that the copies of a text need no shuffle of their own and a bucket is one file
+    texts = source.join(ids, "id", "left_semi").select("id", F.col("text").alias("own")).where("own is not null").repartition("id").distinct()
+    texts = ws.bucketed(texts, "texts", "id")
+    linked = link_lines(ws, live, texts, percent, partial(document_sets, k=k))
+    ws.drop("texts", "members", "buckets", "dealt", "links", "large", "mixed", "blocks", "more")
     out = signed.join(classes, key, "left").withColumn("rep", F.expr("case when size > 0 then coalesce(first, id) else id end"))
-    if linked is not None:
-        out = out.join(linked, out["rep"] == linked["node"], "left")
-    component = F.coalesce("component", "rep") if linked is not None else F.col("rep")
+    out = out.join(linked, out["rep"] == linked["node"], "left")
+    component = F.coalesce("component", "rep")
     return out.select(F.col("id").alias(id), F.col("size").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
