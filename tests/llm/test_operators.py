@@ -343,6 +343,15 @@ def test_lines_whose_first_hashes_are_equal(spark, monkeypatch):
     assert {r.doc_id: r.removed_lines for r in out} == {2: [0], 3: [0]}
 
 
+def test_equal_lines_have_bands_once(spark):
+    text = "a line of several words\n" * 50 + "another line here\n" + "a line of several words"
+    docs = spark.createDataFrame([(1, 0, text), (2, 0, text)], "doc long, row long, text string").coalesce(1)
+    made = lines.describe(docs).collect()
+    assert len(made) == 104 and sum(len(r.bands) > 0 for r in made) == 2 and {r.size for r in made} == {18, 12}
+    out = lines.line_report(docs.withColumnRenamed("doc", "doc_id")).collect()
+    assert {r.doc_id: r.removed_lines for r in out} == {1: [*range(1, 50), 51], 2: [*range(52)]}
+
+
 def test_lines_and_columns_of_any_name(spark):
     rows = [(1, "same line here", "a", 1), (2, "same line here\nown words", "b", 2), (2, "text of the same id", "c", 3), (None, "same line here", "d", 4), (3, None, "e", 5), (4, "same line here", "f", 6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, `drops` string, `row.left` int")
