@@ -337,7 +337,9 @@ def test_large_mixed_buckets_lose_no_link(spark, monkeypatch, members, listed):
 
 
 def test_lines_whose_first_hashes_are_equal(spark, monkeypatch):
-    monkeypatch.setattr(lines, "keys", lambda texts, starts, ends: ((ends - starts).astype(np.uint64), texts.spans(starts, ends)))
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(lines, "keys", lambda line: (F.length(line).cast("long"), F.xxhash64(line)))
     rows = [(1, "abcdefgh\nzyxwvuts\nother line"), (2, "abcdefgh\nqwertyui"), (3, "zyxwvuts")]
     out = lines.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.removed_lines for r in out} == {2: [0], 3: [0]}
@@ -346,12 +348,27 @@ def test_lines_whose_first_hashes_are_equal(spark, monkeypatch):
 def test_equal_lines_have_bands_once(spark):
     text = "a line of several words\n" * 50 + "another line here\n" + "a line of several words"
     docs = spark.createDataFrame([(1, 0, text), (2, 0, text)], "doc long, row long, text string").coalesce(1)
-    made = lines.describe(docs).collect()
-    assert len(made) == 104 and sum(len(r.bands) > 0 for r in made) == 2 and {r.size for r in made} == {18, 12}
+    docs = docs.selectExpr("doc", "row", "text", "xxhash64(doc, row) as place")
+    found, heads = lines.identified(Workspace(spark, "test"), docs)
+    made = lines.signed(lines.cut(docs, heads)).collect()
+    assert found.count() == 104 and heads.count() == 2 and {r.size for r in made} == {18, 12}
+    assert len({r.id for r in made}) == 2 and len({(r.id, r.band) for r in made}) == len(made)
     out = lines.line_report(docs.withColumnRenamed("doc", "doc_id")).collect()
     assert {r.doc_id: r.removed_lines for r in out} == {1: [*range(1, 50), 51], 2: [*range(52)]}
 
 
+def test_lines_run_no_python_on_executors(spark, monkeypatch):
+    def refuse(*_, **__):
+        raise AssertionError("DataFrame functions only")
+
+    rows = [(1, "a line of several words\nanother line"), (2, "A line of several words!\nown words"), (3, "own words \nx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(type(docs), name, refuse)
+    assert {r.doc_id: r.removed_lines for r in lines.line_report(docs).collect()} == {2: [0], 3: [0]}
+    assert {r.doc_id: r.text for r in lines.remove_duplicate_lines(docs).collect()} == {1: rows[0][1], 2: "own words", 3: "x"}
+
+
 def test_lines_and_columns_of_any_name(spark):
     rows = [(1, "same line here", "a", 1), (2, "same line here\nown words", "b", 2), (2, "text of the same id", "c", 3), (None, "same line here", "d", 4), (3, None, "e", 5), (4, "same line here", "f", 6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, `drops` string, `row.left` int")
