@@ -336,6 +336,28 @@ def test_large_mixed_buckets_lose_no_link(spark, monkeypatch, members, listed):
     assert {r.doc_id for r in lines.line_report(docs).collect()} == {i for i in component if component[i] != i}
 
 
+def test_families_are_compared_by_differences(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(400)]
+    base = rng.choice(words, 60)
+    shares = rng.choice([0.01, 0.03, 0.3], lines.PIVOT_FROM + 20, p=[0.5, 0.4, 0.1])
+    texts = [" ".join(np.where(rng.random(60) < share, rng.choice(words, 60), base)) for share in shares]
+    sets = [{t[k : k + 6] for k in range(len(t) - 5)} for t in texts]
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    made = spark.createDataFrame(list(enumerate(texts)), "id long, own string").coalesce(1).select("id", lines.shingle_set(F.col("own")).alias("set"))
+    unit = made.agg(F.collect_list(F.struct("id", "set")).alias("members")).select(lines.against_pivot(F.col("members"), ["id"]).alias("m"))
+    pairs = F.transform("m", lambda x: F.transform("m", lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b"), lines.shared_by(x, y).alias("shared"), lines.most_shared(x, y).alias("most"))))
+    row = unit.select("m", F.flatten(pairs).alias("pairs")).first()
+    assert all(p.shared == len(sets[p.a] & sets[p.b]) <= p.most for p in row.pairs)
+    assert 3 * sum(len(m.plus) + len(m.minus) for m in row.m) < sum(m.n for m in row.m)
+    unlike = [p for p in row.pairs if 180 * p.shared < 80 * (len(sets[p.a]) + len(sets[p.b]))]
+    assert 2 * sum(180 * p.most < 80 * (len(sets[p.a]) + len(sets[p.b])) for p in unlike) > len(unlike) > 1000
+    rows = spark.createDataFrame([(0, 1, i, i, True, [1], t) for i, t in enumerate(texts)], "unit long, bucket long, id long, comp long, asks boolean, buckets array<long>, own string")
+    assert components(range(len(texts)), [tuple(r) for r in lines.meet(rows, 80).collect()]) == components(range(len(texts)), links)
+
+
 def test_lines_whose_first_hashes_are_equal(spark, monkeypatch):
     from pyspark.sql import functions as F
 
